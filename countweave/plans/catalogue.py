@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from countweave.plans import problems
+from countweave.plans import clean, geo, index, problems, recon
 
-MODULES = [problems]
+REGISTRIES = [clean.R, index.R, geo.R, recon.R]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in MODULES for k, f in m.queries().items()}
+    return {**problems.queries(), **{k: f for r in REGISTRIES for k, f in r.q.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in m.oracle_sql().items()}
+    return {**problems.oracle_sql(), **{k: s for r in REGISTRIES for k, s in r.sql.items()}}
