@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from countweave.plans import clean, geo, index, problems, recon
+from countweave.plans import clean, geo, index, problems, recon, sources
 
-REGISTRIES = [clean.R, index.R, geo.R, recon.R]
+REGISTRIES = [clean.R, index.R, geo.R, recon.R, sources.R]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
