@@ -20,3 +20,13 @@ def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
     if scan_partitions(df) >= cores:
         return df
     return df.repartition(cores * per_core, *keys)
+
+
+def ahead_of_expansion(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by keys in a fixed number of partitions, ahead of a join that multiplies
+    rows and an aggregate over keys that include these: the aggregate then needs no further
+    shuffle, and adaptive coalescing, which knows the small side of the expansion only, does not
+    pack it into a few tasks."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)

@@ -82,14 +82,25 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("site", "ts", "y", F.col("pred").alias("pa")).join(b.select("site", "ts", F.col("pred").alias("pb")), ["site", "ts"])
 
 
-def paired_bootstrap(p: DataFrame, draws: DataFrame) -> DataFrame:
-    """MAE difference of the second run minus the first, its weekly-block interval, sites won."""
+def side_by_side(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """The same from one table of both models: one pass, no join."""
+    pick = lambda m: F.max(F.when(F.col("model") == m, F.col("pred")))
+    return rows.groupBy("site", "ts").agg(F.max("y").alias("y"), pick(a).alias("pa"), pick(b).alias("pb")).where("pa IS NOT NULL AND pb IS NOT NULL")
+
+
+def weekly_difference(p: DataFrame) -> DataFrame:
+    """site, week, s, n: sums of |error b| - |error a|, all that the paired bootstrap needs."""
     e = F.abs(F.col("pb") - F.col("y")) - F.abs(F.col("pa") - F.col("y"))
-    week = p.groupBy(F.weekofyear("ts").alias("week")).agg(F.sum(e).alias("s"), F.count("*").alias("n"))
+    return p.groupBy("site", F.weekofyear("ts").alias("week")).agg(F.sum(e).alias("s"), F.count("*").alias("n"))
+
+
+def paired_bootstrap(site_week: DataFrame, draws: DataFrame) -> DataFrame:
+    """MAE difference of run b minus run a, its weekly-block interval, sites won."""
+    week = site_week.groupBy("week").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     d = draws.join(week, "week").groupBy("draw").agg((F.sum(F.col("k") * F.col("s")) / F.sum(F.col("k") * F.col("n"))).alias("diff"))
     point = week.agg((F.sum("s") / F.sum("n")).alias("diff"), F.lit(1).alias("__j"))
     ci = d.agg(F.percentile("diff", F.lit(0.025)).alias("lo"), F.percentile("diff", F.lit(0.975)).alias("hi"), F.lit(1).alias("__j"))
-    wins = p.groupBy("site").agg(F.avg(e).alias("m")).agg(F.count_if(F.col("m") < 0).alias("wins"), F.count("*").alias("n_sites"), F.lit(1).alias("__j"))
+    wins = site_week.groupBy("site").agg((F.sum("s") / F.sum("n")).alias("m")).agg(F.count_if(F.col("m") < 0).alias("wins"), F.count("*").alias("n_sites"), F.lit(1).alias("__j"))
     return point.join(ci, "__j").join(wins, "__j").drop("__j")
 
 

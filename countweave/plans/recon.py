@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from countweave.functions.checkpoints import cut
+from countweave.functions.partitions import ahead_of_expansion
 from countweave.operators import bootstrap, glm, metrics, panel, reconstruct
 from countweave.plans import geo, index
 from countweave.plans.registry import Registry
@@ -14,9 +16,11 @@ R = Registry()
 
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
-    """site, ts, y: observed totals per site and hour."""
-    h = table(spark, d, "counts_hourly").where("observed AND raw_total IS NOT NULL").groupBy("site_id", "standort_id", "ts_local").agg(F.max("raw_total").alias("r"))
-    return h.groupBy(F.col("site_id").alias("site"), F.col("ts_local").alias("ts")).agg(F.sum("r").alias("y"))
+    """site, ts, y: observed totals per site and hour, partitioned by ts, which all that follows
+    (sums, neighbour joins, per-hour aggregates) keeps."""
+    t = table(spark, d, "counts_hourly").where("observed AND raw_total IS NOT NULL").select(F.col("site_id").alias("site"), "standort_id", F.col("ts_local").alias("ts"), "raw_total")
+    h = ahead_of_expansion(t, "ts").groupBy("site", "standort_id", "ts").agg(F.max("raw_total").alias("r"))
+    return h.groupBy("site", "ts").agg(F.sum("r").alias("y"))
 
 
 C = "c AS (SELECT site_id AS site, ts_local AS ts, sum(r) AS y FROM (SELECT site_id, standort_id, ts_local, max(raw_total) AS r FROM counts_hourly WHERE observed AND raw_total IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2)"
@@ -150,8 +154,8 @@ def blend_grid(spark: SparkSession, d: str) -> DataFrame:
 _DRAWS = "dr AS (SELECT b AS draw, week, ((week * 7 + b * 13) % 3) AS k FROM (SELECT DISTINCT weekofyear(ts) AS week FROM pr) w, (SELECT unnest(generate_series(1, 200)) AS b) bb)"
 
 
-def rule_draws(rows: DataFrame, n: int = 200) -> DataFrame:
-    weeks = rows.select(F.weekofyear("ts").alias("week")).distinct()
+def rule_draws(week: DataFrame, n: int = 200) -> DataFrame:
+    weeks = week.select("week").distinct()
     return weeks.select("week", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw")).withColumn("k", (F.col("week") * 7 + F.col("draw") * 13) % 3)
 
 
@@ -160,8 +164,8 @@ z AS (SELECT draw, sum(k * (sa - sb)) / sum(k * n) AS diff FROM dr JOIN wk USING
 SELECT 'idw' AS model_a, 'mean' AS model_b, round((SELECT sum(sa - sb) / sum(n) FROM wk), 5) AS diff, round(quantile_cont(diff, 0.025), 5) AS lo, round(quantile_cont(diff, 0.975), 5) AS hi FROM z""")
 def week_block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Weekly sums meet draws of week multiplicities."""
-    p = predictions(spark, d)
-    b = metrics.block_bootstrap(metrics.weekly(p), rule_draws(p), "idw", "mean")
+    week = cut(metrics.weekly(predictions(spark, d)))  # 53 weeks a model
+    b = metrics.block_bootstrap(week, rule_draws(week), "idw", "mean")
     return b.select("model_a", "model_b", *[F.round(c, 5).alias(c) for c in ("diff", "lo", "hi")])
 
 
@@ -170,8 +174,8 @@ wk AS (SELECT weekofyear(ts) AS week, sum(e) AS s, count(*) AS n FROM pa GROUP B
 SELECT round((SELECT sum(s) / sum(n) FROM wk), 5) AS diff, round(quantile_cont(diff, 0.025), 5) AS lo, round(quantile_cont(diff, 0.975), 5) AS hi, (SELECT count(*) FILTER (WHERE m < 0) FROM st) AS wins, (SELECT count(*) FROM st) AS n_sites FROM z""")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """M15 J12."""
-    p = predictions(spark, d)
-    b = metrics.paired_bootstrap(metrics.paired(p.where("model = 'mean'"), p.where("model = 'idw'")), rule_draws(p))
+    week = cut(metrics.weekly_difference(metrics.side_by_side(predictions(spark, d), "mean", "idw")))  # 53 weeks a site
+    b = metrics.paired_bootstrap(week, rule_draws(week))
     return b.select(*[F.round(c, 5).alias(c) for c in ("diff", "lo", "hi")], "wins", "n_sites")
 
 
