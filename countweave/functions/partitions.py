@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def scan_partitions(df: DataFrame) -> int:
@@ -30,3 +31,9 @@ def ahead_of_expansion(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *keys)
+
+
+def checked_broadcast(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows (counted, no further than that);
+    beyond, df as it is, and the join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

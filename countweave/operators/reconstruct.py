@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from countweave.functions.partitions import checked_broadcast
+
 TAUS = (120.0, 300.0, 600.0, 1200.0)
 FEATURE_TAUS = (180.0, 600.0)
 BLEND = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -20,6 +22,7 @@ def pairs(counts: DataFrame, t: DataFrame, targets: DataFrame) -> DataFrame:
     is never visible. Rows follow the neighbour list, which is short and fixed per target."""
     seen = counts.where("y IS NOT NULL").select(F.col("site").alias("dst"), "ts", "y")
     near = t.join(targets.select(F.col("site").alias("src")), "src", "left_semi").where("src <> dst")
+    near = checked_broadcast(near)  # else the optimiser may send out the counts, which look small in files
     return seen.join(near, "dst").select(F.col("src").alias("site"), "ts", "dst", "cost", "y")
 
 
@@ -33,7 +36,8 @@ def idw(p: DataFrame, tau: Column | float) -> DataFrame:
 def features(p: DataFrame, device_mean: DataFrame) -> DataFrame:
     """Nine columns per target and hour: mean of the neighbours' log counts, weighted mean and log
     mass at two scales, weighted anomaly, nearest value and its minutes, number available."""
-    x = p.join(device_mean.select(F.col("site").alias("dst"), "mean_log"), "dst", "left").withColumn("l", F.log1p("y"))
+    means = checked_broadcast(device_mean.select(F.col("site").alias("dst"), "mean_log"))
+    x = p.join(means, "dst", "left").withColumn("l", F.log1p("y"))
     aggs = [F.avg("l").alias("city")]
     for tau in FEATURE_TAUS:
         w = F.exp(-F.col("cost") / tau)
