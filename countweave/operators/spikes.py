@@ -169,5 +169,5 @@ def flag(df: DataFrame, keys: list[str], order: list[str], value: str, impossibl
     flat = (F.col("__s") == 0) & (F.col("__d") > F.col("r.__flat"))
     tail = own & F.coalesce(residual > pf("cut"), F.lit(False))
     tail = (tail & F.coalesce(residual > rules.limit, F.lit(False))) | (own & F.coalesce(flat, F.lit(False)))
-    keep = [F.col(f"r.{c}") for c in marked.columns if c != "__flat"]
+    keep = [F.col(f"r.{c}") for c in marked.columns if c not in ("__flat", "residual", "cut", "tail", "flagged")]
     return j.select(*keep, residual.alias("residual"), pf("cut").alias("cut"), tail.alias("tail"), (F.col("impossible") | F.col("stuck") | tail).alias("flagged"))
