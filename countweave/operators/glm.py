@@ -154,7 +154,7 @@ def robust_index(d: DataFrame, base: int) -> DataFrame:
             return pd.DataFrame({"year": [], "adjusted_index": [], "ci_lo": [], "ci_hi": []})
         mu = np.exp(x @ b)
         bread = np.linalg.inv(x.T @ (x * (n * mu)[:, None]))
-        r2 = q - 2 * mu * m * n + n * mu * mu
+        r2 = np.maximum(q - 2 * mu * m * n + n * mu * mu, 0)
         k, total = x.shape[1], n.sum()
         cov = bread @ (x.T @ (x * r2[:, None])) @ bread * total / max(total - k, 1)
         i0 = int(np.flatnonzero(levels == base)[0]) if base in levels else 0
@@ -165,7 +165,7 @@ def robust_index(d: DataFrame, base: int) -> DataFrame:
                 c[i] += 1
             if i0:
                 c[i0] -= 1
-            e, s = c @ b, np.sqrt(c @ cov @ c)
+            e, s = c @ b, np.sqrt(max(c @ cov @ c, 0.0))
             out.append((int(lv), 100 * np.exp(e), 100 * np.exp(e - 1.96 * s), 100 * np.exp(e + 1.96 * s)))
         return pd.DataFrame(out, columns=["year", "adjusted_index", "ci_lo", "ci_hi"])
 

@@ -95,7 +95,7 @@ def rmse_rank(x: DataFrame, official: DataFrame, names: Sequence[str]) -> DataFr
 
 
 def best(ranked: DataFrame, key: str, by: str) -> DataFrame:
-    return ranked.agg(F.min_by(key, F.struct(by, key)).alias(key), F.min(by).alias(by))
+    return ranked.agg(F.min_by(key, F.struct(F.round(by, 9), key)).alias(key), F.min(by).alias(by))
 
 
 def fixed_panel(d: DataFrame, base: int, target: int, min_days: int = MIN_DAYS) -> DataFrame:

@@ -66,7 +66,7 @@ def grid_errors(p: DataFrame, truth: DataFrame, taus: Sequence[float] = TAUS) ->
 
 def _by_value(df: DataFrame, name: str, values: Sequence[float], maes: Sequence[Column]) -> DataFrame:
     """One aggregate of several columns -> rows (name, mae)."""
-    return df.agg(F.array(*[F.struct(F.lit(float(v)).alias(name), m.alias("mae")) for v, m in zip(values, maes)]).alias("a")).select(F.inline("a"))
+    return df.agg(F.array(*[F.struct(F.lit(float(v)).alias(name), m.alias("mae")) for v, m in zip(values, maes)]).alias("a")).select(F.inline("a")).where("mae IS NOT NULL")
 
 
 def blend_errors(a: DataFrame, weights: Sequence[float] = BLEND) -> DataFrame:

@@ -134,7 +134,7 @@ def index_rmse_rank(spark: SparkSession, d: str) -> DataFrame:
     return panel.rmse_rank(panel.variants(daily(spark, d), BASE, DAYS), o, _VAR).withColumn("rmse", F.round("rmse", 4))
 
 
-@R(f"WITH {_VAR_SQL}, o AS (SELECT * FROM (VALUES {_OFF}) AS t(year, official)), l AS (UNPIVOT (SELECT year, {', '.join(_VAR)} FROM ix) ON {', '.join(_VAR)} INTO NAME variant VALUE value), r AS (SELECT variant, sqrt(avg((value - official) ** 2)) AS rmse FROM l JOIN o USING (year) GROUP BY 1) SELECT arg_min(variant, rmse) AS variant, round(min(rmse), 4) AS rmse FROM r")
+@R(f"WITH {_VAR_SQL}, o AS (SELECT * FROM (VALUES {_OFF}) AS t(year, official)), l AS (UNPIVOT (SELECT year, {', '.join(_VAR)} FROM ix) ON {', '.join(_VAR)} INTO NAME variant VALUE value), r AS (SELECT variant, sqrt(avg((value - official) ** 2)) AS rmse FROM l JOIN o USING (year) GROUP BY 1) SELECT variant, round(rmse, 4) AS rmse FROM r ORDER BY round(rmse, 9), variant LIMIT 1")
 def best_variant(spark: SparkSession, d: str) -> DataFrame:
     """The variant closest to the published series."""
     o = spark.createDataFrame(list(OFFICIAL.items()), "year int, official double")

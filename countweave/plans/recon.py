@@ -51,7 +51,7 @@ def neighbour_features(spark: SparkSession, d: str) -> DataFrame:
     return f.select("site", F.col("ts").cast("string").alias("ts"), *[F.round(c, 4 if c == "anomaly" else 5).alias(c) for c in ("city", "w180", "m180", "w600", "m600", "anomaly", "near", "near_min")], "available")
 
 
-@R(f"WITH {PAIRS}, " + ", ".join(f"i{t} AS ({idw_sql(t + '.0')})" for t in ("120", "300", "600", "1200")) + ", u AS (" + " UNION ALL ".join(f"SELECT {t}.0::DOUBLE AS tau, avg(abs(c.y - i.pred)) AS mae FROM i{t} i JOIN c USING (site, ts)" for t in ("120", "300", "600", "1200")) + ") SELECT tau, round(mae, 6) AS mae FROM u")
+@R(f"WITH {PAIRS}, " + ", ".join(f"i{t} AS ({idw_sql(t + '.0')})" for t in ("120", "300", "600", "1200")) + ", u AS (" + " UNION ALL ".join(f"SELECT {t}.0::DOUBLE AS tau, avg(abs(c.y - i.pred)) AS mae FROM i{t} i JOIN c USING (site, ts)" for t in ("120", "300", "600", "1200")) + ") SELECT tau, round(mae, 6) AS mae FROM u WHERE mae IS NOT NULL")
 def tau_grid(spark: SparkSession, d: str) -> DataFrame:
     """Errors of a grid of scales in one pass."""
     return reconstruct.grid_errors(site_pairs(spark, d), counts(spark, d)).withColumn("mae", F.round("mae", 6))
