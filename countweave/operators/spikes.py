@@ -2,8 +2,9 @@
 
 1. Plausibility: the caller's rule marks impossible readings.
 2. Stuck values: a reading belongs to a run of `stuck` or more equal consecutive readings of
-   its source; only its `stuck - 1` neighbours on either side matter, so a window with lag and
-   lead decides it while streaming through the sorted rows.
+   its source; only its `stuck - 1` neighbours on either side matter. A source's sequence is cut
+   into stretches that are sorted apart; each stretch gets the last readings ahead of it and the
+   first after it from a table of the stretches' ends, so no task sorts a whole hot source.
 3. Tails: the readings left are ordinary. A mergeable rank summary (operators.quantiles)
    condenses each source to a bounded number of tuples. From it come the centre (median) and
    spread (scaled median absolute deviation) of the source's *other* readings, exactly for
@@ -127,27 +128,64 @@ def _pick(v: Column, lo: Column, hi: Column, below: Column, mid: Column, above:
     return F.when(v < lo, below).when(v > hi, above).when((lo == hi), mid).otherwise(F.when(v <= lo, below).otherwise(above))
 
 
-def flag(df: DataFrame, keys: list[str], order: list[str], value: str, impossible: Column, rules: Rules = Rules()) -> DataFrame:
+def _with_neighbours(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """df with `__ahead`, the k values of `raw` before each row's stretch, and `__after`, the k
+    after it (fewer at the ends). Per stretch at most 2 k values leave its task."""
+    part = [*keys, "__part"]
+    w = Window.partitionBy(*part)
+    item = F.struct(*order, "raw")
+    ends = df.select(*part, item.alias("r"), F.row_number().over(w.orderBy(*order)).alias("i"), F.row_number().over(w.orderBy(*[F.desc(c) for c in order])).alias("j")).where((F.col("i") <= k) | (F.col("j") <= k))
+    pick = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c) <= k, F.col("r")))), lambda r: r["raw"])
+    ends = ends.groupBy(*part).agg(pick("i").alias("first"), pick("j").alias("last"))
+    # k stretches on either side hold k values, as none is empty
+    s = Window.partitionBy(*keys).orderBy("__part")
+    none = F.array().cast("array<double>")
+    ahead = F.concat(*[F.coalesce(F.lag("last", i).over(s), none) for i in range(k, 0, -1)])
+    after = F.concat(*[F.coalesce(F.lead("first", i).over(s), none) for i in range(1, k + 1)])
+    ends = ends.select(*part, ahead.alias("ahead"), after.alias("after"))
+    ends = ends.select(*[F.col(c).alias(f"__k{n}") for n, c in enumerate(part)], F.slice("ahead", F.greatest(F.lit(1), F.size("ahead") - k + 1), k).alias("__ahead"), F.slice("after", 1, k).alias("__after"))
+    on = None
+    for n, c in enumerate(part):
+        one = F.col(c).eqNullSafe(F.col(f"__k{n}"))
+        on = one if on is None else on & one
+    return df.join(ends, on, "left").drop(*[f"__k{n}" for n in range(len(part))])
+
+
+def _in_run(keys: list[str], order: list[str], stuck: int) -> Column:
+    """The row belongs to `stuck` or more equal neighbours, across the ends of its stretch."""
+    w = Window.partitionBy(*keys, "__part").orderBy(*order)
+    i = F.row_number().over(w)
+    j = F.count("*").over(Window.partitionBy(*keys, "__part")) - i
+    raw = F.col("raw")
+    before = lambda n: F.when(i > n, F.lag(raw, n).over(w)).otherwise(F.get("__ahead", (F.size("__ahead") + i - n - 1).cast("int")))
+    behind = lambda n: F.when(j >= n, F.lead(raw, n).over(w)).otherwise(F.get("__after", (F.lit(n) - j - 1).cast("int")))
+    equal = lambda c: F.coalesce(c == raw, F.lit(False))
+    same = [equal(before(n)) for n in range(stuck - 1, 0, -1)] + [F.lit(True)] + [equal(behind(n)) for n in range(1, stuck)]
+    out = None
+    for a in range(stuck):
+        whole = same[a]
+        for x in same[a + 1 : a + stuck]:
+            whole = whole & x
+        out = whole if out is None else out | whole
+    return out
+
+
+def flag(df: DataFrame, keys: list[str], order: list[str], value: str, impossible: Column, rules: Rules = Rules(), stretch: Column | None = None) -> DataFrame:
     """df's non-null readings with `impossible`, `stuck`, `residual` (spreads off the source's
     other readings), `cut` (the tail cutoff), `tail` and `flagged`.
 
     `value` must be on the scale in which readings are compared (log for ratios); it may be
     null where the reading is impossible. `raw`, a column of df, is compared for equality.
     Ties in `order` are broken by the order columns the caller adds. An empty table gives none.
+    `stretch` never decreases along `order` (a year, say) and cuts a source's sequence.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
     raw = F.col("raw")
-    same = [F.coalesce(F.lag(raw, i).over(w) == raw, F.lit(False)) for i in range(rules.stuck - 1, 0, -1)] + [F.lit(True)] + [F.coalesce(F.lead(raw, i).over(w) == raw, F.lit(False)) for i in range(1, rules.stuck)]
-    run = None
-    for i in range(rules.stuck):
-        whole = same[i]
-        for x in same[i + 1 : i + rules.stuck]:
-            whole = whole & x
-        run = whole if run is None else run | whole
+    usable = df.where(raw.isNotNull()).withColumn("__part", stretch if stretch is not None else F.lit(0))
+    run = _in_run(keys, order, rules.stuck)
     normal = rules.zero_runs_normal if isinstance(rules.zero_runs_normal, Column) else F.lit(rules.zero_runs_normal)
     run = run & ~(normal & (raw == 0))
     # the tail is fitted from a second scan instead of holding the windowed rows
-    marked = df.where(raw.isNotNull()).withColumn("impossible", F.coalesce(impossible, F.lit(True))).withColumn("stuck", run)
+    marked = _with_neighbours(usable, keys, order, rules.stuck - 1).withColumn("impossible", F.coalesce(impossible, F.lit(True))).withColumn("stuck", run).drop("__part", "__ahead", "__after")
     flat_by = rules.flat if isinstance(rules.flat, Column) else F.lit(rules.flat).cast("double")
     marked = marked.withColumn("__flat", flat_by)
     ordinary = marked.where(~F.col("impossible") & ~F.col("stuck"))

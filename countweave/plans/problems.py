@@ -35,7 +35,7 @@ def p1_flags(spark: SparkSession, d: str) -> DataFrame:
     """Every non-null reading of the three tables with its flags."""
     hours = F.col("src_table") == "data_quality"
     rules = spikes.Rules(flat=F.when(hours, F.lit(100.0)), zero_runs_normal=hours)
-    return spikes.flag(spike_readings(spark, d), ["src_table", "source"], ["ord", "row_id"], "x", F.col("impossible"), rules)
+    return spikes.flag(spike_readings(spark, d), ["src_table", "source"], ["ord", "row_id"], "x", F.col("impossible"), rules, stretch=F.substring("ord", 1, 4))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -35,9 +35,9 @@ def brute(rows, rules):
     return out
 
 
-def run(spark, rows, rules):
+def run(spark, rows, rules, stretch=None):
     df = spark.createDataFrame(rows, "s string, o long, i long, raw double, bad boolean").withColumn("x", F.when(~F.col("bad"), F.col("raw"))).withColumn("cut", F.lit("clash"))
-    return {r["i"] for r in spikes.flag(df, ["s"], ["o", "i"], "x", F.col("bad"), rules).where("flagged").collect()}
+    return {r["i"] for r in spikes.flag(df, ["s"], ["o", "i"], "x", F.col("bad"), rules, stretch).where("flagged").collect()}
 
 
 def test_against_brute_force(spark):
@@ -55,7 +55,10 @@ def test_against_brute_force(spark):
     rows += [("stuck", k, 10_000 + k, 7.0 if k < 5 else float(k), False) for k in range(12)]
     rows += [("flat", k, 20_000 + k, 5.0 + (150 if k == 3 else 0) + (k % 2) * 0.0, False) for k in (0, 3, 6)]
     rules = spikes.Rules(flat=100.0)
-    assert run(spark, rows, rules) == brute(rows, rules)
+    want = brute(rows, rules)
+    assert run(spark, rows, rules) == want
+    for width in (1, 2, 3, 5):  # stretches shorter and longer than a run
+        assert run(spark, rows, rules, F.floor(F.col("o") / width)) == want
 
 
 def test_nulls_ties_and_empty(spark):
