@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from math import pi
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +73,20 @@ def hour_spine(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.sql(f"SELECT explode(sequence(timestamp_ntz'{start}', timestamp_ntz'{end}' - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS ts_local")
 
 
+def easter(year: int) -> date:
+    a, b, c = year % 19, year // 100, year % 100
+    h = (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
+    k = (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7
+    m = h + k - 7 * ((a + 11 * h + 22 * k) // 451) + 114
+    return date(year, m // 31, m % 31 + 1)
+
+
+def public_holidays(year: int) -> list[date]:
+    """Days off in Zurich by their rules."""
+    e = easter(year)
+    return [date(year, m, x) for m, x in ((1, 1), (1, 2), (5, 1), (8, 1), (12, 25), (12, 26))] + [e + timedelta(days=k) for k in (-2, 1, 39, 50)]
+
+
 def calendar(hours: DataFrame, public_holidays: DataFrame, school: DataFrame) -> DataFrame:
     """One row per hour with calendar features.
 

@@ -9,13 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countweave.operators.glm import _ratio
+from countweave.operators.glm import Design
 
 
-def week_cells(d: DataFrame) -> DataFrame:
-    """site_id, entity, year, week, s, n: all that a draw needs, so days are condensed once."""
-    week = F.concat(F.extract(F.lit("YEAROFWEEK"), F.col("day")).cast("string"), F.lit("-"), F.lpad(F.weekofyear("day").cast("string"), 2, "0"))
-    return d.groupBy("site_id", F.col("coverage_id").alias("entity"), "year", week.alias("week")).agg(F.sum(F.rint("total")).alias("s"), F.count("*").alias("n"))
+def week_cells(d: DataFrame, numbers: Sequence[str] = (), factors: Sequence[str] = (), value: str = "total", entity: str = "coverage_id") -> DataFrame:
+    """site_id, entity (as hashes), year, week, covariates, s, n: all that a draw needs, condensed once."""
+    week = F.extract(F.lit("YEAROFWEEK"), F.col("day")) * 100 + F.weekofyear("day")
+    keys = [F.xxhash64("site_id").alias("site_id"), F.xxhash64(entity).alias("entity"), "year", week.cast("int").alias("week")]
+    return d.groupBy(*keys, *numbers, *factors).agg(F.sum(F.rint(value)).alias("s"), F.count("*").alias("n"))
+
+
+def multiplicities(sites: np.ndarray, weeks: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """One draw: how often each site and each week is taken, both with replacement. Copies of a site
+    share the draw's weeks, so their effects are equal and the site's weight stands for them."""
+    return np.bincount(rng.choice(len(sites), len(sites)), minlength=len(sites)), np.bincount(rng.choice(len(weeks), len(weeks)), minlength=len(weeks))
 
 
 def resample(pdf: pd.DataFrame, rng: np.random.Generator) -> pd.DataFrame:
@@ -30,54 +37,75 @@ def resample(pdf: pd.DataFrame, rng: np.random.Generator) -> pd.DataFrame:
     return out[out["w"] > 0]
 
 
-def _collapsed(pdf: pd.DataFrame) -> pd.DataFrame:
-    g = pdf.assign(ws=pdf["s"] * pdf["w"], wn=pdf["n"] * pdf["w"]).groupby(["site_id", "entity", "year"], as_index=False)[["ws", "wn"]].sum()
-    return g.assign(m=g["ws"] / g["wn"])
+class _Panel:
+    """Cells of one task, coded; `drawn` gives sums and days of the cells without their week."""
+
+    def __init__(self, pdf: pd.DataFrame, numbers: Sequence[str], factors: Sequence[str]) -> None:
+        keys = ["site_id", "entity", "year", *numbers, *factors]
+        pdf = pdf.sort_values([*keys, "week"])
+        self.cell = pdf.groupby(keys, sort=False).ngroup().to_numpy()
+        cells = pdf[keys].drop_duplicates().reset_index(drop=True)
+        self.design = Design(cells, numbers, factors)
+        self.site, self.sites = pd.factorize(cells["site_id"], sort=True)
+        self.week, self.weeks = pd.factorize(pdf["week"], sort=True)
+        self.year, self.s, self.n = cells["year"].to_numpy(), pdf["s"].to_numpy(float), pdf["n"].to_numpy(float)
+
+    def drawn(self, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Copies of each site, and of one copy the sums and the days of each cell."""
+        ks, kw = multiplicities(self.sites, self.weeks, rng)
+        w = kw[self.week]
+        return ks, np.bincount(self.cell, self.s * w, len(self.site)), np.bincount(self.cell, self.n * w, len(self.site))
+
+    def ratio(self, take: np.ndarray, ks: np.ndarray, s: np.ndarray, n: np.ndarray, a: int, b: int) -> float:
+        rows = np.flatnonzero(take & (n > 0) & (ks[self.site] > 0))
+        k = ks[self.site[rows]]
+        try:
+            return self.design.ratio(rows, s[rows] * k, n[rows] * k, a, b)
+        except np.linalg.LinAlgError:
+            return float("nan")
 
 
-def _draws(cells: DataFrame, n: int, fit, per_task: int = 10) -> DataFrame:
+def _draws(cells: DataFrame, n: int, numbers: Sequence[str], factors: Sequence[str], fit, blocks: int = 12) -> DataFrame:
     """draw, ratio: blocks of draws run as separate groups over copies of the condensed cells."""
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // per_task))).alias("block")
-    copies = cells.select("*", blocks)
+    per_task = -(-n // blocks)
+    copies = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // per_task))).alias("block"))
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["site_id", "entity", "year", "week"])
+        panel = _Panel(pdf, numbers, factors)
         ids = range(key[0] * per_task, min(n, (key[0] + 1) * per_task))
-        return pd.DataFrame({"draw": list(ids), "ratio": [fit(pdf, i) for i in ids]})
+        return pd.DataFrame({"draw": list(ids), "ratio": [fit(panel, i) for i in ids]})
 
     return copies.groupBy("block").applyInPandas(work, "draw int, ratio double")
 
 
-def fixed_panel_draws(d: DataFrame, a: int, b: int, n: int, seed: int) -> DataFrame:
-    def fit(pdf: pd.DataFrame, i: int) -> float:
-        c = _collapsed(resample(pdf, np.random.default_rng([seed, i])))
-        try:
-            return _ratio(c["entity"].to_numpy(), c["year"].to_numpy(), c["m"].to_numpy(), c["wn"].to_numpy(), a, b)
-        except np.linalg.LinAlgError:
-            return float("nan")
+def fixed_panel_draws(d: DataFrame, a: int, b: int, n: int, seed: int, numbers: Sequence[str] = (), factors: Sequence[str] = (), value: str = "total", entity: str = "coverage_id") -> DataFrame:
+    def fit(panel: _Panel, i: int) -> float:
+        return panel.ratio(np.ones(len(panel.site), bool), *panel.drawn(np.random.default_rng([seed, i])), a, b)
 
-    return _draws(week_cells(d), n, fit)
+    return _draws(week_cells(d, numbers, factors, value, entity), n, numbers, factors, fit)
 
 
-def chain_draws(d: DataFrame, min_days: int, n: int, seed: int) -> DataFrame:
-    """Product of the links of each draw; nan where a pair of years keeps no site."""
+def chain_draws(d: DataFrame, min_days: int, n: int, seed: int, numbers: Sequence[str] = (), factors: Sequence[str] = ()) -> DataFrame:
+    """Product of the links of each draw; nan where a pair of years keeps no site. The links are
+    those that the panel itself has, as in `glm.chain`."""
 
-    def fit(pdf: pd.DataFrame, i: int) -> float:
-        c = _collapsed(resample(pdf, np.random.default_rng([seed, i])))
-        days = c.groupby(["site_id", "year"])["wn"].sum()
-        years, out = np.sort(c["year"].unique()), 1.0
-        for y in years[:-1]:
-            both = [s for s in c["site_id"].unique() if days.get((s, y), 0) >= min_days and days.get((s, y + 1), 0) >= min_days]
-            q = c[c["site_id"].isin(both) & c["year"].isin([y, y + 1])]
-            if q.empty:
-                return float("nan")
-            try:
-                out *= _ratio(q["entity"].to_numpy(), q["year"].to_numpy(), q["m"].to_numpy(), q["wn"].to_numpy(), y, y + 1)
-            except np.linalg.LinAlgError:
+    def fit(panel: _Panel, i: int) -> float:
+        ks, s, days = panel.drawn(np.random.default_rng([seed, i]))
+        years, out = np.unique(panel.year), 1.0
+
+        def both(x: np.ndarray, y: int) -> np.ndarray:
+            ok = [np.bincount(panel.site[panel.year == z], x[panel.year == z], len(panel.sites)) >= min_days for z in (y, y + 1)]
+            return ok[0] & ok[1]
+
+        whole = np.bincount(panel.cell, panel.n, len(panel.site))
+        for y in [y for y in years[:-1] if both(whole, y).any()]:
+            ok = both(days, y) & (ks > 0)
+            if not ok.any():
                 return float("nan")
+            out *= panel.ratio(ok[panel.site] & np.isin(panel.year, (y, y + 1)), ks, s, days, y, y + 1)
         return out
 
-    return _draws(week_cells(d), n, fit)
+    return _draws(week_cells(d, numbers, factors), n, numbers, factors, fit)
 
 
 def summarised(draws: DataFrame, thresholds: Sequence[float]) -> DataFrame:

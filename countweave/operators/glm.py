@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-COVARIATES = ("temp", "temp2", "log_precip", "sun")
+COVARIATES = ("temp", "temp2", "log_precip", "sun", "holiday", "school")  # numbers of a day
+FACTORS = ("dow", "month")  # its classes
+CALENDAR = ("holiday",)  # what is known of every day without a weather or school table
 LARGEST_CELLS = 1_000_000  # rows a single group's fit may hold
 
 
@@ -48,25 +50,33 @@ def condensed(d: DataFrame, entity: str, value: str = "total", more: Sequence[st
     return d.groupBy(F.col(entity).alias("entity"), "year", *more).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
 
 
-def year_effects(d: DataFrame, value: str, entity: str | None, covariates: Sequence[str] = ()) -> DataFrame:
-    """year, effect (log) of one large fit by Spark's GLM. Entities and years are indexed; counts are
-    rounded. Without covariates the rows are condensed to cells first, weighted by their size."""
+def with_days(d: DataFrame, calendar: DataFrame | None = None, weather: DataFrame | None = None) -> DataFrame:
+    """d with dow and month of its days and, where given, holiday (and school) and temp, temp2,
+    log_precip and sun. Days without a row in a given table drop out."""
+    d = d.withColumn("dow", F.weekday("day")).withColumn("month", F.month("day"))
+    if calendar is not None:
+        d = d.join(calendar.select("day", *[F.col(c).cast("double").alias(c) for c in ("holiday", "school") if c in calendar.columns]), "day")
+    if weather is not None:
+        d = d.join(weather.select("day", "temp", (F.col("temp") * F.col("temp")).alias("temp2"), F.log1p("precip").alias("log_precip"), "sun"), "day")
+    return d
+
+
+def year_effects(d: DataFrame, value: str, entity: str | None, covariates: Sequence[str] = (), factors: Sequence[str] = ()) -> DataFrame:
+    """year, effect (log) of one large fit by Spark's GLM. Entities, years and factors are indexed;
+    counts are rounded. Rows alike in all of these are condensed to cells weighted by their size."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     spark = d.sparkSession
     d = d.withColumn("__y", F.rint(value)).where("__y IS NOT NULL")
-    keys = ["year", *([entity] if entity else [])]
-    if not covariates:
-        d = d.groupBy(*keys).agg(F.avg("__y").alias("__y"), F.count("*").cast("double").alias("__w"))
-    else:
-        d = d.withColumn("__w", F.lit(1.0))
-    d = d.withColumn("__year", F.col("year").cast("string"))
+    d = d.groupBy("year", *([entity] if entity else []), *covariates, *factors).agg(F.avg("__y").alias("__y"), F.count("*").cast("double").alias("__w"))
+    classes = ["__year", *([entity] if entity else []), *[f"__f_{c}" for c in factors]]
+    d = d.withColumn("__year", F.col("year").cast("string")).withColumns({f"__f_{c}": F.col(c).cast("string") for c in factors})
     stages = []
-    for c in ["__year", *([entity] if entity else [])]:
+    for c in classes:
         stages += [StringIndexer(inputCol=c, outputCol=f"{c}_i", stringOrderType="alphabetAsc"), OneHotEncoder(inputCol=f"{c}_i", outputCol=f"{c}_v")]
-    stages += [VectorAssembler(inputCols=[f"{c}_v" for c in ["__year", *([entity] if entity else [])]] + list(covariates), outputCol="features")]
+    stages += [VectorAssembler(inputCols=[f"{c}_v" for c in classes] + list(covariates), outputCol="features")]
     stages += [GeneralizedLinearRegression(family="poisson", link="log", labelCol="__y", weightCol="__w", featuresCol="features", regParam=0.0, maxIter=50)]
     m = Pipeline(stages=stages).fit(d)
     years = [int(x) for x in m.stages[0].labels]
@@ -79,40 +89,131 @@ def ratios_to(effects: DataFrame, base: int) -> DataFrame:
     return effects.select("year", F.exp(F.col("effect") - F.max(F.when(F.col("year") == base, F.col("effect"))).over(w)).alias("ratio"))
 
 
-def _ratio(entity: np.ndarray, year: np.ndarray, mean: np.ndarray, weight: np.ndarray, a: int, b: int) -> float:
-    yd, levels = dummies(year)
-    if a not in levels or b not in levels:
-        return float("nan")
-    ed, _ = dummies(entity)
-    beta = poisson_irls(np.column_stack([np.ones(len(year)), yd, ed]), mean, weight)
-    effect = np.concatenate([[0.0], beta[1 : len(levels)]])
-    return float(np.exp(effect[np.flatnonzero(levels == b)[0]] - effect[np.flatnonzero(levels == a)[0]]))
+def pattern_columns(p: pd.DataFrame, numbers: Sequence[str], factors: Sequence[str]) -> np.ndarray:
+    """Covariate columns of distinct days: numbers standardised, indicators of factors."""
+    cols = [((v - v.mean()) / (v.std() or 1.0))[:, None] for v in (p[c].to_numpy(float) for c in numbers)]
+    return np.column_stack(cols + [dummies(p[c].to_numpy())[0] for c in factors]) if numbers or factors else np.zeros((len(p), 0))
+
+
+def _moments(x: np.ndarray, n: np.ndarray, e: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entity levels, expected sums of patterns, entity means of x and the information within entities."""
+    m = n @ e
+    a = total / m
+    mu = e * (a @ n)
+    xbar = (n @ (e[:, None] * x)) / m[:, None]
+    return a, mu, xbar, x.T @ (x * mu[:, None]) - (xbar * total[:, None]).T @ xbar
+
+
+def absorbed_fit(x: np.ndarray, n: np.ndarray, by_entity: np.ndarray, by_pattern: np.ndarray, needed: int, rounds: int = 60, tol: float = 1e-10) -> np.ndarray:
+    """Coefficients of a Poisson fit with an effect per entity, profiled out: the estimate is that of
+    the fit with all indicators. x: columns of each pattern (a kind of day); n: days of entity and
+    pattern; the sums of counts by entity and by pattern. The last `needed` columns are the ones
+    asked for: nan for all if they follow from the others; earlier columns that do are left at 0."""
+    keep = by_entity > 0
+    n, by_entity = n[keep], by_entity[keep]
+    bad = np.full(x.shape[1], np.nan)
+    if not len(n):
+        return bad
+    g = _moments(x, n, np.ones(len(x)), n.sum(1))[3]
+    size = n.sum(0) @ (x * x)
+    used = []
+    for j in range(x.shape[1]):  # elimination: what is left of a column beside those before it
+        if g[j, j] > 1e-9 * max(size[j], 1e-300):
+            used.append(j)
+            g = g - np.outer(g[:, j], g[j]) / g[j, j]
+        elif j >= x.shape[1] - needed:
+            return bad
+    if not used:
+        return np.zeros(x.shape[1])
+    x = x[:, used]
+    b = np.zeros(len(used))
+    gain = lambda b: by_pattern @ (x @ b) - by_entity @ np.log(n @ np.exp(np.clip(x @ b, -30, 30)))
+    at = gain(b)
+    for _ in range(rounds):
+        _, mu, _, info = _moments(x, n, np.exp(np.clip(x @ b, -30, 30)), by_entity)
+        step = np.linalg.solve(info, x.T @ (by_pattern - mu))
+        while np.abs(step).max() > tol and gain(b + step) < at - 1e-9 * abs(at):
+            step = step / 2
+        b = b + step
+        at = gain(b)
+        if np.abs(step).max() < tol:
+            break
+    out = np.zeros(len(bad))
+    out[used] = b
+    return out
+
+
+def cells_of(d: DataFrame, entity: str, keys: Sequence[str], numbers: Sequence[str], factors: Sequence[str]) -> DataFrame:
+    """keys, entity, year, covariates, s, n and the sum of squares q: all a fit needs of days that are alike."""
+    y = F.rint("total")
+    return d.groupBy(*keys, F.col(entity).alias("entity"), "year", *numbers, *factors).agg(F.sum(y).alias("s"), F.count("*").alias("n"), F.sum(y * y).alias("q"))
+
+
+class Design:
+    """Cells (entity, year, covariates) coded for fits: patterns are the distinct days. Patterns and
+    columns are set up once; a fit takes weights of days and sums and the years it may read."""
+
+    def __init__(self, pdf: pd.DataFrame, numbers: Sequence[str], factors: Sequence[str]) -> None:
+        names = ["year", *numbers, *factors]
+        self.entity, self.entities = pd.factorize(pdf["entity"])
+        self.pattern = pdf.groupby(names, sort=False).ngroup().to_numpy()
+        p = pdf[names].drop_duplicates().reset_index(drop=True)
+        self.years, self.cov = p["year"].to_numpy(), pattern_columns(p, numbers, factors)
+
+    def fit(self, rows: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """years, effects against the first of them, and the fit's parts, over the given rows."""
+        ent, e = np.unique(self.entity[rows], return_inverse=True)
+        pat, p = np.unique(self.pattern[rows], return_inverse=True)
+        yd, levels = dummies(self.years[pat])
+        x = np.column_stack([self.cov[pat], yd])
+        days = np.bincount(e * len(pat) + p, n, len(ent) * len(pat)).reshape(len(ent), len(pat))
+        by_entity = np.bincount(e, s, len(ent))
+        b = absorbed_fit(x, days, by_entity, np.bincount(p, s, len(pat)), len(levels) - 1)
+        return levels, np.concatenate([[0.0], b[len(b) - len(levels) + 1 :]]), (x, days, by_entity, b, e, p)
+
+    def ratio(self, rows: np.ndarray, s: np.ndarray, n: np.ndarray, a: int, b: int) -> float:
+        if not len(rows):
+            return float("nan")
+        levels, effect, _ = self.fit(rows, s, n)
+        if a not in levels or b not in levels:
+            return float("nan")
+        return float(np.exp(effect[np.searchsorted(levels, b)] - effect[np.searchsorted(levels, a)]))
+
+
+def panel_ratio(d: DataFrame, a: int, b: int, entity: str = "coverage_id", value: str = "total", numbers: Sequence[str] = (), factors: Sequence[str] = ()) -> DataFrame:
+    """ratio: one row, year b over year a over all rows of d."""
+    cells = cells_of(d.select("year", F.col(entity).alias("__e"), F.col(value).alias("total"), *numbers, *factors), "__e", [], numbers, factors)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"ratio": [Design(pdf, numbers, factors).ratio(np.arange(len(pdf)), pdf["s"].to_numpy(float), pdf["n"].to_numpy(float), a, b)]})
+
+    return cells.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "ratio double")
 
 
-def leave_one_out(d: DataFrame, a: int, b: int, entity: str = "coverage_id") -> DataFrame:
+def leave_one_out(d: DataFrame, a: int, b: int, entity: str = "coverage_id", numbers: Sequence[str] = (), factors: Sequence[str] = ()) -> DataFrame:
     """left_out, ratio: one fit per site over the cells of all others (fixed panels are small)."""
-    cells = d.groupBy("site_id", F.col(entity).alias("entity"), "year").agg(F.avg(F.rint("total")).alias("m"), F.count("*").alias("n"))
+    cells = cells_of(d, entity, ["site_id"], numbers, factors)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, site, s, n = Design(pdf, numbers, factors), pdf["site_id"].to_numpy(), pdf["s"].to_numpy(float), pdf["n"].to_numpy(float)
         out = []
-        for s in sorted(pdf["site_id"].unique()):
-            q = pdf[pdf["site_id"] != s]
-            out.append((s, _ratio(q["entity"].to_numpy(), q["year"].to_numpy(), q["m"].to_numpy(float), q["n"].to_numpy(float), a, b)))
+        for left in sorted(set(site)):
+            rows = np.flatnonzero(site != left)
+            out.append((left, x.ratio(rows, s[rows], n[rows], a, b)))
         return pd.DataFrame(out, columns=["left_out", "ratio"])
 
     return cells.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "left_out string, ratio double")
 
 
-def chain(d: DataFrame, min_days: int) -> DataFrame:
+def chain(d: DataFrame, min_days: int, numbers: Sequence[str] = (), factors: Sequence[str] = ()) -> DataFrame:
     """from_year, to_year, n_sites, ratio, cumulative: per pair of consecutive years a fit over the
     sites with enough days in both, with coverage effects."""
     sy = d.groupBy("site_id", "year").agg(F.count("*").alias("days")).where(F.col("days") >= min_days).select("site_id", "year")
     link = sy.join(sy.select("site_id", (F.col("year") - 1).alias("year")), ["site_id", "year"]).select("site_id", F.col("year").alias("from_year"))
-    cells = d.groupBy("site_id", F.col("coverage_id").alias("entity"), "year").agg(F.avg(F.rint("total")).alias("m"), F.count("*").alias("n"))
-    j = link.join(cells, "site_id").where(F.col("year").between(F.col("from_year"), F.col("from_year") + 1))
+    j = link.join(cells_of(d, "coverage_id", ["site_id"], numbers, factors), "site_id").where(F.col("year").between(F.col("from_year"), F.col("from_year") + 1))
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        r = _ratio(pdf["entity"].to_numpy(), pdf["year"].to_numpy(), pdf["m"].to_numpy(float), pdf["n"].to_numpy(float), key[0], key[0] + 1)
+        r = Design(pdf, numbers, factors).ratio(np.arange(len(pdf)), pdf["s"].to_numpy(float), pdf["n"].to_numpy(float), key[0], key[0] + 1)
         return pd.DataFrame({"from_year": [key[0]], "to_year": [key[0] + 1], "n_sites": [pdf["site_id"].nunique()], "ratio": [r]})
 
     f = j.groupBy("from_year").applyInPandas(fit, "from_year int, to_year int, n_sites int, ratio double")
@@ -120,56 +221,53 @@ def chain(d: DataFrame, min_days: int) -> DataFrame:
     return f.withColumn("cumulative", F.exp(F.sum(F.log("ratio")).over(w)))
 
 
-def per_site(d: DataFrame, min_days: int) -> DataFrame:
+def per_site(d: DataFrame, min_days: int, numbers: Sequence[str] = (), factors: Sequence[str] = ()) -> DataFrame:
     """site_id, year, ratio to its first eligible year; coverage effects where there are several."""
     ok = d.groupBy("site_id", "year").agg(F.count("*").alias("k")).where(F.col("k") >= min_days).select("site_id", "year")
-    cells = d.join(ok, ["site_id", "year"]).groupBy("site_id", F.col("coverage_id").alias("entity"), "year").agg(F.avg(F.rint("total")).alias("m"), F.count("*").alias("n"))
+    cells = cells_of(d.join(ok, ["site_id", "year"]), "coverage_id", ["site_id"], numbers, factors)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        years = np.sort(pdf["year"].unique())
-        if len(years) < 2:
+        if pdf["year"].nunique() < 2:
             return pd.DataFrame({"site_id": [], "year": [], "ratio": []}).astype({"site_id": str, "year": "int32", "ratio": float})
-        r = [1.0] + [_ratio(pdf["entity"].to_numpy(), pdf["year"].to_numpy(), pdf["m"].to_numpy(float), pdf["n"].to_numpy(float), years[0], y) for y in years[1:]]
-        return pd.DataFrame({"site_id": key[0], "year": years.astype("int32"), "ratio": r}).dropna()
+        years, effect, _ = Design(pdf, numbers, factors).fit(np.arange(len(pdf)), pdf["s"].to_numpy(float), pdf["n"].to_numpy(float))
+        return pd.DataFrame({"site_id": key[0], "year": years.astype("int32"), "ratio": np.exp(effect)}).dropna()
 
     return cells.groupBy("site_id").applyInPandas(fit, "site_id string, year int, ratio double")
 
 
-def robust_index(d: DataFrame, base: int) -> DataFrame:
+def robust_index(d: DataFrame, base: int, numbers: Sequence[str] = (), factors: Sequence[str] = (), entity: str = "coverage_id") -> DataFrame:
     """year, index (base 100) and its 95 % interval from the HC1 sandwich covariance.
 
     The fit is over cells; what the sandwich needs besides, the sum of squared residuals of each
     cell's days, follows from the cell's sums of y and y^2, so days are read once and never held.
     """
-    y = F.rint("total")
-    cells = d.groupBy(F.col("coverage_id").alias("entity"), "year").agg(F.avg(y).alias("m"), F.count("*").alias("n"), F.sum(y * y).alias("q"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        yd, levels = dummies(pdf["year"].to_numpy())
-        ed, _ = dummies(pdf["entity"].to_numpy())
-        x = np.column_stack([np.ones(len(pdf)), yd, ed])
-        m, n, q = (pdf[c].to_numpy(float) for c in ("m", "n", "q"))
-        b = poisson_irls(x, m, n)
+        s, n, q = (pdf[c].to_numpy(float) for c in ("s", "n", "q"))
+        levels, effect, (x, days, by_entity, b, e, p) = Design(pdf, numbers, factors).fit(np.arange(len(pdf)), s, n)
         if not np.isfinite(b).all():
             return pd.DataFrame({"year": [], "adjusted_index": [], "ci_lo": [], "ci_hi": []})
-        mu = np.exp(x @ b)
-        bread = np.linalg.inv(x.T @ (x * (n * mu)[:, None]))
-        r2 = np.maximum(q - 2 * mu * m * n + n * mu * mu, 0)
-        k, total = x.shape[1], n.sum()
-        cov = bread @ (x.T @ (x * r2[:, None])) @ bread * total / max(total - k, 1)
+        a, _, xbar, info = _moments(x, days, np.exp(x @ b), by_entity)
+        mu = a[e] * np.exp(x @ b)[p]
+        r2 = np.maximum(q - 2 * mu * s + n * mu * mu, 0)
+        within = x[p] - xbar[e]
+        bread = np.linalg.pinv(info, rcond=1e-9, hermitian=True)
+        k, total = np.linalg.matrix_rank(bread) + len(days), n.sum()
+        cov = bread @ (within.T @ (within * r2[:, None])) @ bread * total / max(total - k, 1)
         i0 = int(np.flatnonzero(levels == base)[0]) if base in levels else 0
+        first = x.shape[1] - len(levels)  # column of level i is first + i
         out = []
         for i, lv in enumerate(levels):
-            c = np.zeros(k)
+            c = np.zeros(x.shape[1])
             if i:
-                c[i] += 1
+                c[first + i] += 1
             if i0:
-                c[i0] -= 1
-            e, s = c @ b, np.sqrt(max(c @ cov @ c, 0.0))
-            out.append((int(lv), 100 * np.exp(e), 100 * np.exp(e - 1.96 * s), 100 * np.exp(e + 1.96 * s)))
+                c[first + i0] -= 1
+            at, sd = effect[i] - effect[i0], np.sqrt(max(c @ cov @ c, 0.0))
+            out.append((int(lv), 100 * np.exp(at), 100 * np.exp(at - 1.96 * sd), 100 * np.exp(at + 1.96 * sd)))
         return pd.DataFrame(out, columns=["year", "adjusted_index", "ci_lo", "ci_hi"])
 
-    return cells.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "year int, adjusted_index double, ci_lo double, ci_hi double")
+    return cells_of(d, entity, [], numbers, factors).groupBy(F.lit(0).alias("all")).applyInPandas(fit, "year int, adjusted_index double, ci_lo double, ci_hi double")
 
 
 FEATURES = ["city", "w180", "m180", "w600", "m600", "anomaly", "near", "near_min", "available"]

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from countweave.functions import calendar as cal
 from countweave.functions.checkpoints import cut
 from countweave.functions.partitions import ahead_of_expansion
+from countweave.functions.settings import DEFAULT
 from countweave.operators import bootstrap, glm, metrics, panel, reconstruct
 from countweave.plans import geo, index
 from countweave.plans.registry import Registry
@@ -267,11 +269,24 @@ def poisson_year_only(spark: SparkSession, d: str) -> DataFrame:
     return glm.ratios_to(r, index.BASE).withColumn("ratio", F.round("ratio", 5))
 
 
+ADJUST = {"numbers": glm.CALENDAR, "factors": glm.FACTORS}
+
+
+def adjusted(d: DataFrame) -> DataFrame:
+    """Daily rows with weekday, month and public holiday; the test tables hold no weather and no
+    school calendar of these years."""
+    days = [(x,) for y in range(1990, 2061) for x in cal.public_holidays(y)]
+    holiday = d.sparkSession.createDataFrame(days, "day date").withColumn("holiday", F.lit(1.0))
+    return glm.with_days(d.join(F.broadcast(holiday), "day", "left").fillna(0.0, ["holiday"]))
+
+
+def on_fixed_panel(x: DataFrame) -> DataFrame:
+    return adjusted(x.join(panel.fixed_panel(x, index.BASE, index.TARGET, index.DAYS), "site_id", "left_semi"))
+
+
 def poisson_fixed_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Year effects beside coverage effects, on the fixed panel."""
-    x = index.daily(spark, d)
-    x = x.join(panel.fixed_panel(x, index.BASE, index.TARGET, index.DAYS), "site_id", "left_semi")
-    r = glm.year_effects(x, "total", "coverage_id")
+    """Year effects beside coverage effects and the calendar, on the fixed panel."""
+    r = glm.year_effects(on_fixed_panel(index.daily(spark, d)), "total", "coverage_id", glm.CALENDAR, glm.FACTORS)
     return glm.ratios_to(r, index.BASE).withColumn("ratio", F.round("ratio", 4))
 
 
@@ -280,7 +295,7 @@ R()(poisson_fixed_panel)
 
 def adjusted_chain(spark: SparkSession, d: str) -> DataFrame:
     """Chain of adjusted year pairs, one small fit per pair."""
-    return glm.chain(index.daily(spark, d), index.DAYS).withColumn("ratio", F.round("ratio", 4)).withColumn("cumulative", F.round("cumulative", 4))
+    return glm.chain(adjusted(index.daily(spark, d)), index.DAYS, **ADJUST).withColumn("ratio", F.round("ratio", 4)).withColumn("cumulative", F.round("cumulative", 4))
 
 
 R()(adjusted_chain)
@@ -288,18 +303,18 @@ R()(adjusted_chain)
 
 def leave_one_out_panel(spark: SparkSession, d: str) -> DataFrame:
     """The fixed-panel ratio without each of its sites."""
-    x = index.daily(spark, d)
-    x = x.join(panel.fixed_panel(x, index.BASE, index.TARGET, index.DAYS), "site_id", "left_semi").where(F.col("year").isin(index.BASE, index.TARGET))
-    return glm.leave_one_out(x, index.BASE, index.TARGET).withColumn("ratio", F.round("ratio", 4))
+    x = on_fixed_panel(index.daily(spark, d)).where(F.col("year").between(index.BASE, index.TARGET))
+    return glm.leave_one_out(x, index.BASE, index.TARGET, **ADJUST).withColumn("ratio", F.round("ratio", 4))
 
 
 R()(leave_one_out_panel)
 
 
 def robust_year_index(spark: SparkSession, d: str) -> DataFrame:
-    """Year effects with a heteroscedasticity-robust interval."""
-    x = index.daily(spark, d).where("year BETWEEN 2018 AND 2022")
-    return glm.robust_index(x, 2018).select("year", *[F.round(c, 3).alias(c) for c in ("adjusted_index", "ci_lo", "ci_hi")])
+    """Year effects of the stable panel with a heteroscedasticity-robust interval."""
+    x = index.daily(spark, d)
+    x = x.join(panel.stable_panel(x, index.BASE, index.TARGET, index.DAYS), "site_id", "left_semi").where("year BETWEEN 2018 AND 2022")
+    return glm.robust_index(adjusted(x), 2018, **ADJUST, entity="standort_id").select("year", *[F.round(c, 3).alias(c) for c in ("adjusted_index", "ci_lo", "ci_hi")])
 
 
 R()(robust_year_index)
@@ -307,7 +322,7 @@ R()(robust_year_index)
 
 def per_site_index(spark: SparkSession, d: str) -> DataFrame:
     """An adjusted index per site with enough days in two years."""
-    return glm.per_site(index.daily(spark, d), index.DAYS).withColumn("ratio", F.round("ratio", 4))
+    return glm.per_site(adjusted(index.daily(spark, d)), index.DAYS, **ADJUST).withColumn("ratio", F.round("ratio", 4))
 
 
 R()(per_site_index)
@@ -315,9 +330,8 @@ R()(per_site_index)
 
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Sites resampled with copies, weeks by multiplicity; summary of the ratios."""
-    x = index.daily(spark, d)
-    x = x.join(panel.fixed_panel(x, index.BASE, index.TARGET, index.DAYS), "site_id", "left_semi").where(F.col("year").isin(index.BASE, index.TARGET))
-    draws = bootstrap.fixed_panel_draws(x, index.BASE, index.TARGET, 100, seed=11)
+    x = on_fixed_panel(index.daily(spark, d)).where(F.col("year").between(index.BASE, index.TARGET))
+    draws = bootstrap.fixed_panel_draws(x, index.BASE, index.TARGET, 100, 11, **ADJUST)
     return bootstrap.summarised(draws, (1.5, 1.8)).select(*["n", "failed"], *[F.round(c, 3).alias(c) for c in ("median", "lo", "hi", "p_ge_1_5", "p_ge_1_8")])
 
 
@@ -326,12 +340,35 @@ R()(cluster_bootstrap)
 
 def chain_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap of the chain; draws in which a link has no site fail."""
-    draws = bootstrap.chain_draws(index.daily(spark, d).where("year BETWEEN 2019 AND 2022"), index.DAYS, 40, seed=13)
+    draws = bootstrap.chain_draws(adjusted(index.daily(spark, d)).where("year BETWEEN 2019 AND 2022"), index.DAYS, 40, 13, **ADJUST)
     return bootstrap.summarised(draws, (1.5, 1.8)).select("n", "failed", *[F.round(c, 3).alias(c) for c in ("median", "lo", "hi")])
 
 
 R()(chain_bootstrap)
 
+FLAGGED_BREAKS = {"VZS_HOFW": ["2019-03-14"], "VZS_ANDR": ["2019-10-11"]}
+
+
+def scenarios(spark: SparkSession, d: str) -> DataFrame:
+    """The same counters raw (S1), corrected (S2) and with flagged swaps as breaks (S3), and the
+    chain over all counters (S4): point and bootstrap of each, S1 with all draws, the others half."""
+    x = index.daily(spark, d)
+    fixed = on_fixed_panel(x).where(F.col("year").between(index.BASE, index.TARGET))
+    n, ends = DEFAULT.draws, (index.BASE, index.TARGET)
+    cases = [("S1", fixed, "coverage_id", "total", n, 11), ("S2", fixed, "site_id", "corrected", n // 2, 12), ("S3", panel.with_breaks(fixed, FLAGGED_BREAKS), "coverage_id", "total", n // 2, 14)]
+    parts = [(k, glm.panel_ratio(f, *ends, entity=e, value=v, **ADJUST), bootstrap.fixed_panel_draws(f, *ends, m, seed, **ADJUST, value=v, entity=e)) for k, f, e, v, m, seed in cases]
+    every = adjusted(x).where(F.col("year").between(index.BASE, index.TARGET))
+    links = glm.chain(every, index.DAYS, **ADJUST)
+    parts.append(("S4", links.agg(F.max_by("cumulative", "from_year").alias("ratio")), bootstrap.chain_draws(every, index.DAYS, n // 2, 13, **ADJUST)))
+    out = None
+    for k, point, draws in parts:
+        one = point.select(F.lit(k).alias("scenario"), F.round("ratio", 4).alias("ratio")).crossJoin(bootstrap.summarised(draws, (1.5, 1.8)))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out.select("scenario", "ratio", "n", "failed", *[F.round(c, 3).alias(c) for c in ("median", "lo", "hi", "p_ge_1_5", "p_ge_1_8")])
+
+
+R()(scenarios)
+
 
 @R("WITH x AS (SELECT least(greatest(correction_factor, 0.8), 1.5999) AS v FROM site_devices WHERE correction_factor IS NOT NULL) SELECT CAST(floor(round((v - 0.8) / 0.1, 6)) AS INTEGER) AS bin, count(*) AS n FROM x GROUP BY 1")
 def draw_histogram(spark: SparkSession, d: str) -> DataFrame:
