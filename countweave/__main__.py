@@ -19,7 +19,7 @@ STAGES = {
     "clean": ["hourly_rollup", "observed_mask_flags", "quality_summary", "global_quality", "calendar_features", "gap_interpolation", "cluster_components"],
     "graph": ["knn_edges", "snap_to_edges", "shortest_paths", "voronoi_adjacency", "route_rollup", "conflation", "radius_shares", "spaced_sites"],
     "backtest": ["eligible_sites", "holdout_folds", "validation_split", "idw_predict", "neighbour_features", "tau_grid", "blend_grid", "prediction_intervals", "gradient_boosting", "ridge_poisson"],
-    "evaluate": ["metrics_pooled", "metrics_per_site", "metrics_macro", "metrics_by_group", "metrics_wide", "metrics_daily", "interval_coverage", "week_block_bootstrap", "paired_bootstrap", "decision_rule", "worst_sites", "corrected_layer"],
+    "evaluate": ["metrics_pooled", "metrics_per_site", "metrics_macro", "metrics_by_group", "metrics_wide", "metrics_daily", "interval_coverage", "week_block_draws", "paired_draws", "decision_by_interval", "worst_sites", "corrected_layer"],
     "history": ["stable_panel", "weekend_share", "peak_share", "robust_year_index", "per_site_index"],
     "audit": ["station_audit", "duplicate_keys", "nearest_site"],
     "claims": ["index_variants", "index_rmse_rank", "best_variant", "fixed_panel_members", "per_site_ratio", "unadjusted_ratio", "poisson_fixed_panel", "leave_one_out_panel", "adjusted_chain", "device_swap_scan", "level_jump_scan", "anomaly_variants", "composition_split", "loo_median", "quarterly_relative", "cluster_bootstrap", "chain_bootstrap"],

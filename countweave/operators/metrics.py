@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,19 @@ def weekly(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.weekofyear("ts").alias("week"), "model").agg(F.sum(F.abs(F.col("pred") - F.col("y"))).alias("s"), F.count("*").alias("n"))
 
 
+def week_draws(week: DataFrame, n: int, seed: int) -> DataFrame:
+    """draw, week, k: in each of n draws as many weeks as there are, with replacement; each draw has
+    its own seed. k is how often the week was taken, and weeks not taken have no row."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        weeks = np.sort(pdf["week"].to_numpy())
+        k = np.stack([np.bincount(np.random.default_rng([seed, i]).integers(0, len(weeks), len(weeks)), minlength=len(weeks)) for i in range(n)])
+        i, w = np.nonzero(k)
+        return pd.DataFrame({"draw": i, "week": weeks[w], "k": k[i, w]})
+
+    return week.select("week").distinct().groupBy(F.lit(0).alias("all")).applyInPandas(work, "draw int, week int, k int")  # 53 weeks
+
+
 def block_bootstrap(week: DataFrame, draws: DataFrame, a: str, b: str) -> DataFrame:
     """Difference of pooled MAE a - b over draws (draw, week, k): point and 95 % interval."""
     p = week.groupBy("week").agg(F.sum(F.when(F.col("model") == a, F.col("s"))).alias("sa"), F.sum(F.when(F.col("model") == b, F.col("s"))).alias("sb"), F.sum(F.when(F.col("model") == a, F.col("n"))).alias("n"))
@@ -109,6 +124,15 @@ def chosen(val_better: Column, ci_hi: Column, wins: Column, n_sites: Column) ->
     return val_better & (ci_hi < 0) & (wins * 2 >= n_sites)
 
 
+def decided(per: DataFrame, hi: DataFrame, a: str, b: str) -> DataFrame:
+    """chosen, hi, wins, n_sites: is model a chosen over b, given the upper end (one row) of the
+    interval of its pooled MAE less b's."""
+    at = lambda m: F.max(F.when(F.col("model") == m, F.col("mae")))
+    q = per.groupBy("site").agg(at(a).alias("a"), at(b).alias("b"))
+    one = q.agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.count_if(F.col("a") < F.col("b")).alias("wins"), F.count("*").alias("n_sites"))
+    return one.crossJoin(hi).select(chosen(F.col("ma") < F.col("mb"), F.col("hi"), F.col("wins"), F.col("n_sites")).alias("chosen"), "hi", "wins", "n_sites")
+
+
 def corrected_layer(preds: DataFrame, hourly: DataFrame, factors: DataFrame) -> DataFrame:
     """Predictions with the factor of the device active in that hour; two devices give two rows."""
     on = hourly.select(F.col("site_id").alias("site"), F.col("ts_local").alias("ts"), "standort_id").distinct().join(factors, "standort_id", "left")

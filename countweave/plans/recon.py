@@ -190,6 +190,40 @@ def decision_rule(spark: SparkSession, d: str) -> DataFrame:
     return one.select(metrics.chosen(F.col("ma") < F.col("mb"), F.col("hi"), F.col("wins"), F.col("n_sites")).alias("chosen"), "wins", "n_sites")
 
 
+PAIRED_DRAWS = 2000
+
+
+def week_block_draws(spark: SparkSession, d: str) -> DataFrame:
+    """M14 with random draws of weeks; `week_block_bootstrap` checks the sums on a rule that SQL knows."""
+    week = cut(metrics.weekly(predictions(spark, d)))  # 53 weeks a model
+    b = metrics.block_bootstrap(week, metrics.week_draws(week, DEFAULT.draws, DEFAULT.seed), "idw", "mean")
+    return b.select("model_a", "model_b", *[F.round(c, 5).alias(c) for c in ("diff", "lo", "hi")])
+
+
+R()(week_block_draws)
+
+
+def paired_draws(spark: SparkSession, d: str) -> DataFrame:
+    """M15 likewise."""
+    week = cut(metrics.weekly_difference(metrics.side_by_side(predictions(spark, d), "mean", "idw")))  # 53 weeks a site
+    b = metrics.paired_bootstrap(week, metrics.week_draws(week, PAIRED_DRAWS, 0))
+    return b.select(*[F.round(c, 5).alias(c) for c in ("diff", "lo", "hi")], "wins", "n_sites")
+
+
+R()(paired_draws)
+
+
+def decision_by_interval(spark: SparkSession, d: str) -> DataFrame:
+    """M25 on the upper end of M14's interval."""
+    p = predictions(spark, d)
+    week = cut(metrics.weekly(p))
+    hi = metrics.block_bootstrap(week, metrics.week_draws(week, DEFAULT.draws, DEFAULT.seed), "idw", "mean").select("hi")
+    return metrics.decided(metrics.per_site(p), hi, "idw", "mean").withColumn("hi", F.round("hi", 5))
+
+
+R()(decision_by_interval)
+
+
 @R(f"WITH {C} SELECT site FROM c WHERE ts >= TIMESTAMP '2015-01-01' AND ts < TIMESTAMP '2023-01-01' GROUP BY 1 HAVING count(*) >= 300")
 def eligible_sites(spark: SparkSession, d: str) -> DataFrame:
     """A34."""
