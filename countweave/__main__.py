@@ -22,7 +22,7 @@ STAGES = {
     "evaluate": ["metrics_pooled", "metrics_per_site", "metrics_macro", "metrics_by_group", "metrics_wide", "metrics_daily", "interval_coverage", "week_block_draws", "paired_draws", "decision_by_interval", "worst_sites", "corrected_layer"],
     "history": ["stable_panel", "weekend_share", "peak_share", "robust_year_index", "per_site_index"],
     "audit": ["station_audit", "duplicate_keys", "nearest_site"],
-    "claims": ["index_variants", "index_rmse_rank", "best_variant", "fixed_panel_members", "per_site_ratio", "unadjusted_ratio", "poisson_fixed_panel", "leave_one_out_panel", "adjusted_chain", "device_swap_scan", "level_jump_scan", "anomaly_variants", "composition_split", "loo_median", "quarterly_relative", "cluster_bootstrap", "chain_bootstrap"],
+    "claims": ["index_variants", "index_rmse_rank", "best_variant", "fixed_panel_members", "per_site_ratio", "unadjusted_ratio", "poisson_fixed_panel", "leave_one_out_panel", "adjusted_chain", "device_swap_scan", "level_jump_scan", "anomaly_variants", "composition_split", "loo_median", "quarterly_relative", "cluster_bootstrap", "chain_bootstrap", "scenarios"],
     "problems": ["p1_found", "p2_quantiles", "p3_found", "p4_attributes", "p5_grid", "p6_instants"],
 }
 

@@ -347,8 +347,8 @@ R()(leave_one_out_panel)
 def robust_year_index(spark: SparkSession, d: str) -> DataFrame:
     """Year effects of the stable panel with a heteroscedasticity-robust interval."""
     x = index.daily(spark, d)
-    x = x.join(panel.stable_panel(x, index.BASE, index.TARGET, index.DAYS), "site_id", "left_semi").where("year BETWEEN 2018 AND 2022")
-    return glm.robust_index(adjusted(x), 2018, **ADJUST, entity="standort_id").select("year", *[F.round(c, 3).alias(c) for c in ("adjusted_index", "ci_lo", "ci_hi")])
+    x = x.join(panel.stable_panel(x, index.BASE, index.TARGET, index.DAYS), "site_id", "left_semi")
+    return glm.robust_index(adjusted(x), index.BASE, **ADJUST, entity="standort_id").select("year", *[F.round(c, 3).alias(c) for c in ("adjusted_index", "ci_lo", "ci_hi")])
 
 
 R()(robust_year_index)
@@ -365,7 +365,7 @@ R()(per_site_index)
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Sites resampled with copies, weeks by multiplicity; summary of the ratios."""
     x = on_fixed_panel(index.daily(spark, d)).where(F.col("year").between(index.BASE, index.TARGET))
-    draws = bootstrap.fixed_panel_draws(x, index.BASE, index.TARGET, 100, 11, **ADJUST)
+    draws = bootstrap.fixed_panel_draws(x, index.BASE, index.TARGET, DEFAULT.draws, 11, **ADJUST)
     return bootstrap.summarised(draws, (1.5, 1.8)).select(*["n", "failed"], *[F.round(c, 3).alias(c) for c in ("median", "lo", "hi", "p_ge_1_5", "p_ge_1_8")])
 
 
@@ -374,7 +374,7 @@ R()(cluster_bootstrap)
 
 def chain_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap of the chain; draws in which a link has no site fail."""
-    draws = bootstrap.chain_draws(adjusted(index.daily(spark, d)).where("year BETWEEN 2019 AND 2022"), index.DAYS, 40, 13, **ADJUST)
+    draws = bootstrap.chain_draws(adjusted(index.daily(spark, d)), index.DAYS, DEFAULT.draws // 2, 13, **ADJUST)
     return bootstrap.summarised(draws, (1.5, 1.8)).select("n", "failed", *[F.round(c, 3).alias(c) for c in ("median", "lo", "hi")])
 
 

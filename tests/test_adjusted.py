@@ -102,3 +102,24 @@ def test_years_that_follow_from_the_month_have_no_ratio(spark):
 def test_holidays_by_rule():
     assert cal.easter(2023) == date(2023, 4, 9) and cal.easter(2024) == date(2024, 3, 31)
     assert {date(2023, 4, 7), date(2023, 4, 10), date(2023, 5, 18), date(2023, 5, 29), date(2023, 8, 1)} <= set(cal.public_holidays(2023))
+
+
+def test_bootstraps_and_robust_index_use_all_years(spark, tmp_path):
+    """Years outside 2018 to 2022 count: 2011 to 2012 doubles, then 2021 to 2022 stays."""
+    from countweave.plans import recon
+
+    rng = np.random.default_rng(0)
+    rows = []
+    for s in range(3):
+        for y, level in ((2011, 100), (2012, 200), (2021, 150), (2022, 150)):
+            for k in range(360):
+                day = date(y, 1, 1) + timedelta(days=k)
+                n = int(rng.poisson(level))
+                rows.append((f"s{s}", s, day, n, 1.0, f"s{s}#1", float(n), day.month, y, ""))
+    x = spark.createDataFrame(rows, "site_id string, standort_id int, day date, total int, cf double, coverage_id string, corrected double, month int, year int, week string")
+    x.withColumn("day", F.col("day").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/daily_panel.parquet")
+    assert {r["year"] for r in recon.robust_year_index(spark, str(tmp_path)).collect()} == {2011, 2012, 2021, 2022}
+    b = recon.chain_bootstrap(spark, str(tmp_path)).collect()[0]
+    assert b["n"] + b["failed"] == 500 and b["median"] == pytest.approx(2.0, rel=0.03)
+    c = recon.cluster_bootstrap(spark, str(tmp_path)).collect()[0]
+    assert c["n"] + c["failed"] == 1000 and c["median"] == pytest.approx(1.0, rel=0.03)
