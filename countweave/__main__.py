@@ -16,7 +16,7 @@ from countweave.plans import catalogue
 from countweave.sources import files
 
 STAGES = {
-    "clean": ["hourly_rollup", "observed_mask_flags", "quality_summary", "global_quality", "calendar_features", "gap_interpolation", "cluster_components"],
+    "clean": ["hourly_rollup_all", "observed_mask_flags_all", "quality_summary", "global_quality", "calendar_features", "gap_interpolation", "cluster_components"],
     "graph": ["knn_edges", "snap_to_edges", "shortest_paths", "voronoi_adjacency", "route_rollup", "conflation", "radius_shares", "spaced_sites"],
     "backtest": ["eligible_sites", "holdout_folds", "validation_split", "idw_predict", "neighbour_features", "tau_grid", "blend_grid", "prediction_intervals", "gradient_boosting", "ridge_poisson"],
     "evaluate": ["metrics_pooled", "metrics_per_site", "metrics_macro", "metrics_by_group", "metrics_wide", "metrics_daily", "interval_coverage", "week_block_draws", "paired_draws", "decision_by_interval", "worst_sites", "corrected_layer"],

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countweave.functions import calendar as cal
-from countweave.operators import quality, rollup, weather
+from countweave.operators import quality, rollup, timestamps, weather
 from countweave.plans.registry import Registry
 from countweave.sources.tables import table
 
@@ -20,6 +20,15 @@ def raw_quarters(spark: SparkSession, d: str) -> DataFrame:
     return q.select(F.col("FK_STANDORT").alias("standort_id"), ts.alias("ts"), F.col("VELO_IN").alias("raw_in"), F.col("VELO_OUT").alias("raw_out")).where("ts IS NOT NULL")
 
 
+def every_quarter(spark: SparkSession, d: str) -> DataFrame:
+    """Quarter-hour rows in any notation that p6 reads, at wall-clock time; a canonical text stays as it is."""
+    q = table(spark, d, "quarter_counts").select(F.col("FK_STANDORT").alias("standort_id"), "DATUM", F.col("VELO_IN").alias("raw_in"), F.col("VELO_OUT").alias("raw_out"))
+    x = timestamps.normalise_texts(q, "DATUM")
+    written = F.when(F.col("DATUM").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}$"), F.expr("try_cast(DATUM AS timestamp_ntz)"))
+    wall = F.from_utc_timestamp(F.timestamp_micros("utc_us"), "Europe/Zurich").cast("timestamp_ntz")
+    return x.select("standort_id", F.coalesce(written, wall).alias("ts"), "raw_in", "raw_out").where("ts IS NOT NULL")
+
+
 RAW = "raw AS (SELECT FK_STANDORT AS standort_id, try_strptime(DATUM, '%Y-%m-%dT%H:%M') AS ts, VELO_IN AS raw_in, VELO_OUT AS raw_out FROM quarter_counts WHERE regexp_full_match(DATUM, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}') AND try_strptime(DATUM, '%Y-%m-%dT%H:%M') IS NOT NULL)"
 REPEAT = "(month({0}) = 10 AND dayofweek({0}) = 0 AND day({0}) >= 25 AND hour({0}) = 2)"
 SKIP = "(month({0}) = 3 AND dayofweek({0}) = 0 AND day({0}) >= 25 AND hour({0}) = 2)"
@@ -85,12 +94,49 @@ SELECT standort_id, CAST(ts_local AS VARCHAR) AS ts_local, outside_validity, zer
   concat_ws('|', CASE WHEN zero_run THEN 'zero_run' END, CASE WHEN dst_ambiguous THEN 'dst_ambiguous' END, CASE WHEN outside_validity THEN 'outside_metadata_validity' END, CASE WHEN NOT complete THEN 'partial_hour' END) AS quality_flags FROM fl""")
 def observed_mask_flags(spark: SparkSession, d: str) -> DataFrame:
     """Validity, zero runs (6 hours here), the observed mask and flag text."""
-    h = rollup.zero_runs(rollup.hourly(raw_quarters(spark, d)), least=6)
+    return _masked(raw_quarters(spark, d), spark, d)
+
+
+def _masked(raw: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    h = rollup.zero_runs(rollup.hourly(raw), least=6)
     h = h.join(first_device(spark, d), "standort_id", "left")
     h = rollup.observed(h.withColumn("outside_validity", rollup.outside_validity(F.col("ts_local"), F.col("valid_from"), F.col("valid_to"))))
     return h.select("standort_id", F.col("ts_local").cast("string").alias("ts_local"), "outside_validity", "zero_run", "observed", "quality_flags")
 
 
+# The same over every readable row. DuckDB cannot read all notations, so the four above, which have
+# SQL, stay with the canonical ones.
+
+
+def hourly_rollup_all(spark: SparkSession, d: str) -> DataFrame:
+    h = rollup.hourly(every_quarter(spark, d))
+    return h.withColumn("ts_local", F.col("ts_local").cast("string"))
+
+
+R()(hourly_rollup_all)
+
+
+def majority_direction_all(spark: SparkSession, d: str) -> DataFrame:
+    return rollup.majority_direction(every_quarter(spark, d))
+
+
+R()(majority_direction_all)
+
+
+def active_ids_all(spark: SparkSession, d: str) -> DataFrame:
+    return rollup.active_ids(every_quarter(spark, d))
+
+
+R()(active_ids_all)
+
+
+def observed_mask_flags_all(spark: SparkSession, d: str) -> DataFrame:
+    return _masked(every_quarter(spark, d), spark, d)
+
+
+R()(observed_mask_flags_all)
+
+
 CH = "ch AS (SELECT standort_id, ts_local, max(raw_total) AS raw_total FROM counts_hourly GROUP BY 1, 2)"
 
 
