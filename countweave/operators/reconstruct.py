@@ -1,67 +1,129 @@
 """Reconstruction of counts at a site from its neighbours, and the splits that test it.
 
 counts: site, ts, y (null where not observed). Weights come from travel times t (src, dst, cost).
+
+What a site's neighbours say in an hour is a product of the hour's vector of counts and a sparse
+matrix of weights. Hours travel in blocks: a block's counts become one array (hours x sites), the
+neighbour lists of its sites go with it, and all targets and scales come out of one pass, without
+a row per pair and hour. The shuffle is one of counts by block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from countweave.functions.partitions import checked_broadcast
-
 TAUS = (120.0, 300.0, 600.0, 1200.0)
 FEATURE_TAUS = (180.0, 600.0)
 BLEND = (0.0, 0.25, 0.5, 0.75, 1.0)
-
-
-def pairs(counts: DataFrame, t: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every target and hour with the observed counts of its visible neighbours. The target itself
-    is never visible. Rows follow the neighbour list, which is short and fixed per target."""
-    seen = counts.where("y IS NOT NULL").select(F.col("site").alias("dst"), "ts", "y")
-    near = t.join(targets.select(F.col("site").alias("src")), "src", "left_semi").where("src <> dst")
-    near = checked_broadcast(near)  # else the optimiser may send out the counts, which look small in files
-    return seen.join(near, "dst").select(F.col("src").alias("site"), "ts", "dst", "cost", "y")
-
-
-def idw(p: DataFrame, tau: Column | float) -> DataFrame:
-    """site, ts, pred: inverse-distance weights exp(-cost / tau); the plain mean where they vanish."""
-    w = F.exp(-F.col("cost") / tau)
-    g = p.groupBy("site", "ts").agg(F.sum(w * F.col("y")).alias("wy"), F.sum(w).alias("w"), F.avg("y").alias("m"))
-    return g.select("site", "ts", F.when(F.col("w") > 1e-12, F.col("wy") / F.col("w")).otherwise(F.coalesce("m", F.lit(0.0))).alias("pred"))
-
-
-def features(p: DataFrame, device_mean: DataFrame) -> DataFrame:
+BLOCK_HOURS = 168
+CELLS = 2_000_000  # pairs x hours worked on at a time
+
+
+def hour_block(ts: Column | str) -> Column:
+    """Number of the block of hours that a naive time falls in."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.floor((F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)) / BLOCK_HOURS).cast("int")
+
+
+def _per_hour(y: np.ndarray, src: np.ndarray, dst: np.ndarray, cost: np.ndarray, mean: np.ndarray, taus: Sequence[float], log: bool):
+    """For hours x sites of counts (nan where none): hours, targets and columns by name, of every
+    target and hour with any neighbour. Pairs are sorted by (src, cost, dst)."""
+    first = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
+    total = lambda x: np.add.reduceat(x, first, axis=1)
+    weights = [np.exp(-cost / tau) for tau in taus]
+    step = max(1, CELLS // len(src))
+    for lo in range(0, len(y), step):
+        v = y[lo : lo + step][:, dst]
+        seen = np.isfinite(v)
+        v = np.where(seen, np.log1p(np.where(seen, v, 0.0)) if log else v, 0.0)
+        n = total(seen.astype(np.int64))
+        h, k = np.nonzero(n)
+        out = {"available": n[h, k], "total": total(v)[h, k]}
+        for tau, w in zip(taus, weights):
+            out[f"w{int(tau)}"] = total(seen * w)[h, k]
+            out[f"s{int(tau)}"] = total(v * w)[h, k]
+        if log:
+            out["anomaly"] = total(np.where(seen, v - mean[dst], 0.0) * weights[-1])[h, k]
+            near = np.minimum.reduceat(np.where(seen, np.arange(len(src)), len(src)), first, axis=1)[h, k]
+            out["near"], out["near_cost"] = v[h, near], cost[near]
+        yield lo + h, src[first][k], out
+
+
+def neighbour_sums(counts: DataFrame, t: DataFrame, targets: DataFrame, taus: Sequence[float], device_mean: DataFrame | None = None) -> DataFrame:
+    """site, ts, available (neighbours with a count) and, over these, total and for each scale the
+    weights w<tau> and weighted sums s<tau>, with weights exp(-cost / tau). The target itself is
+    never visible. With device_mean (site, mean_log) sums are of log1p(y) and three columns more:
+    anomaly (weighted at the last scale, against the neighbours' means), near and near_cost.
+
+    A target and hour without any neighbour has no row. counts has one row per site and hour, and
+    may have its `block` (hour_block).
+    """
+    log = device_mean is not None
+    block = F.col("block") if "block" in counts.columns else hour_block("ts")  # a partitioning by it is kept
+    seen = counts.where("y IS NOT NULL").select("site", "ts", F.col("y").cast("double").alias("y"), block.alias("__b"))
+    near = t.join(targets.select(F.col("site").alias("src")), "src", "left_semi").where("src <> dst AND cost IS NOT NULL").select("src", "dst", F.col("cost").cast("double").alias("cost"))
+    near = near.join(device_mean.select(F.col("site").alias("dst"), F.col("mean_log").cast("double").alias("mean")), "dst", "left") if log else near.withColumn("mean", F.lit(0.0))
+    blocks = seen.select(F.col("site").alias("dst"), "__b").distinct()
+    near = near.join(blocks, "dst").select(F.col("__b").alias("__n"), "src", "dst", "cost", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+    names = ["available", "total", *[f"{k}{int(tau)}" for tau in taus for k in "ws"], *(["anomaly", "near", "near_cost"] if log else [])]
+    schema = "site string, ts timestamp_ntz, available long, " + ", ".join(f"{n} double" for n in names[1:])
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = [pa.string(), pa.timestamp("us"), pa.int64(), *[pa.float64()] * (len(names) - 1)]
+        empty = pa.table([pa.array([], k) for k in kinds], names=["site", "ts", *names])
+        if not left.num_rows or not right.num_rows:
+            return empty
+        text = lambda tab, c: np.array(tab.column(c).to_pylist(), dtype=object)
+        sites, codes = np.unique(np.concatenate([text(left, "site"), text(right, "src"), text(right, "dst")]), return_inverse=True)
+        here, src, dst = np.split(codes, [left.num_rows, left.num_rows + right.num_rows])
+        hours, row = np.unique(left.column("ts").cast(pa.int64()).to_numpy(), return_inverse=True)
+        y = np.full((len(hours), len(sites)), np.nan)
+        y[row, here] = left.column("y").to_numpy()
+        cost, mean = right.column("cost").to_numpy(), np.zeros(len(sites))
+        mean[dst] = right.column("mean").to_numpy()
+        order = np.lexsort([dst, cost, src])
+        parts = []
+        names_of = pa.array(sites.tolist(), pa.string())
+        for h, k, cols in _per_hour(y, src[order], dst[order], cost[order], mean, taus, log):
+            parts.append(pa.table([names_of.take(pa.array(k)), pa.array(hours[h]).cast(pa.timestamp("us")), *[pa.array(cols[c]) for c in names]], names=["site", "ts", *names]))
+        return pa.concat_tables(parts) if parts else empty
+
+    return seen.groupBy("__b").cogroup(near.groupBy("__n")).applyInArrow(work, schema)
+
+
+def weighted(tau: float) -> Column:
+    """Inverse-distance estimate at a scale of `neighbour_sums`; the plain mean where weights vanish."""
+    w, s = F.col(f"w{int(tau)}"), F.col(f"s{int(tau)}")
+    return F.when(w > 1e-12, s / w).otherwise(F.col("total") / F.col("available"))
+
+
+def idw(sums: DataFrame, tau: float) -> DataFrame:
+    """site, ts, pred: inverse-distance weights exp(-cost / tau)."""
+    return sums.select("site", "ts", weighted(tau).alias("pred"))
+
+
+def features(sums: DataFrame) -> DataFrame:
     """Nine columns per target and hour: mean of the neighbours' log counts, weighted mean and log
     mass at two scales, weighted anomaly, nearest value and its minutes, number available."""
-    means = checked_broadcast(device_mean.select(F.col("site").alias("dst"), "mean_log"))
-    x = p.join(means, "dst", "left").withColumn("l", F.log1p("y"))
-    aggs = [F.avg("l").alias("city")]
-    for tau in FEATURE_TAUS:
-        w = F.exp(-F.col("cost") / tau)
-        aggs += [(F.sum(w * F.col("l")) / F.sum(w)).alias(f"w{int(tau)}"), F.log(F.sum(w) + 1e-6).alias(f"m{int(tau)}")]
-    w = F.exp(-F.col("cost") / FEATURE_TAUS[1])
-    aggs += [F.coalesce(F.sum(w * (F.col("l") - F.col("mean_log"))) / F.sum(w), F.lit(0.0)).alias("anomaly"), F.min(F.struct("cost", "dst", "l")).alias("n"), F.count("*").alias("available")]
-    g = x.groupBy("site", "ts").agg(*aggs)
-    return g.select("site", "ts", "city", "w180", "m180", "w600", "m600", "anomaly", F.col("n.l").alias("near"), F.coalesce(F.col("n.cost") / 60, F.lit(60.0)).alias("near_min"), "available")
+    a, b = (int(x) for x in FEATURE_TAUS)
+    c = F.col
+    scaled = [x for k in (a, b) for x in ((c(f"s{k}") / c(f"w{k}")).alias(f"w{k}"), F.log(c(f"w{k}") + 1e-6).alias(f"m{k}"))]
+    return sums.select("site", "ts", (c("total") / c("available")).alias("city"), *scaled, F.coalesce(c("anomaly") / c(f"w{b}"), F.lit(0.0)).alias("anomaly"), "near", (c("near_cost") / 60).alias("near_min"), "available")
 
 
 def device_means(h: DataFrame, key: str) -> DataFrame:
     return h.groupBy(key).agg(F.avg(F.when(F.col("observed"), F.log1p("raw_total"))).alias("mean_log"))
 
 
-def grid_errors(p: DataFrame, truth: DataFrame, taus: Sequence[float] = TAUS) -> DataFrame:
-    """tau, mae of every scale in one aggregate pass over the pairs."""
-    aggs = []
-    for i, tau in enumerate(taus):
-        w = F.exp(-F.col("cost") / tau)
-        aggs += [F.sum(w * F.col("y")).alias(f"a{i}"), F.sum(w).alias(f"b{i}")]
-    g = p.groupBy("site", "ts").agg(F.avg("y").alias("m"), *aggs)
-    j = g.join(truth.where("y IS NOT NULL").select("site", "ts", F.col("y").alias("truth")), ["site", "ts"])
-    pred = lambda i: F.when(F.col(f"b{i}") > 1e-12, F.col(f"a{i}") / F.col(f"b{i}")).otherwise(F.col("m"))
-    return _by_value(j, "tau", taus, [F.avg(F.abs(F.col("truth") - pred(i))) for i in range(len(taus))])
+def grid_errors(sums: DataFrame, truth: DataFrame, taus: Sequence[float] = TAUS) -> DataFrame:
+    """tau, mae of every scale of `neighbour_sums` in one aggregate pass."""
+    j = sums.join(truth.where("y IS NOT NULL").select("site", "ts", F.col("y").alias("truth")), ["site", "ts"])
+    return _by_value(j, "tau", taus, [F.avg(F.abs(F.col("truth") - weighted(tau))) for tau in taus])
 
 
 def _by_value(df: DataFrame, name: str, values: Sequence[float], maes: Sequence[Column]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,19 +20,26 @@ R = Registry()
 
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
-    """site, ts, y: observed totals per site and hour, partitioned by ts, which all that follows
-    (sums, neighbour joins, per-hour aggregates) keeps."""
-    t = table(spark, d, "counts_hourly").where("observed AND raw_total IS NOT NULL").select(F.col("site_id").alias("site"), "standort_id", F.col("ts_local").alias("ts"), "raw_total")
-    h = ahead_of_expansion(t, "ts").groupBy("site", "standort_id", "ts").agg(F.max("raw_total").alias("r"))
-    return h.groupBy("site", "ts").agg(F.sum("r").alias("y"))
+    """block, site, ts, y: observed totals per site and hour, partitioned by blocks of hours, which all that
+    follows (sums, neighbours, per-hour aggregates) keeps."""
+    t = table(spark, d, "counts_hourly").where("observed AND raw_total IS NOT NULL").select(F.col("site_id").alias("site"), "standort_id", F.col("ts_local").alias("ts"), "raw_total", reconstruct.hour_block("ts_local").alias("block"))
+    h = ahead_of_expansion(t, "block").groupBy("block", "site", "standort_id", "ts").agg(F.max("raw_total").alias("r"))
+    return h.groupBy("block", "site", "ts").agg(F.sum("r").alias("y"))
 
 
 C = "c AS (SELECT site_id AS site, ts_local AS ts, sum(r) AS y FROM (SELECT site_id, standort_id, ts_local, max(raw_total) AS r FROM counts_hourly WHERE observed AND raw_total IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2)"
 PAIRS = f"{geo.TIMES}, {C}, p AS (SELECT t.src AS site, c.ts, t.dst, t.cost, c.y FROM t JOIN c ON c.site = t.dst)"
 
 
-def site_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return reconstruct.pairs(counts(spark, d), geo.times(spark, d), geo.sites(spark, d).select(F.col("id").alias("site")))
+def neighbours(spark: SparkSession, d: str, taus: Sequence[float]) -> DataFrame:
+    return reconstruct.neighbour_sums(counts(spark, d), geo.times(spark, d), geo.sites(spark, d).select(F.col("id").alias("site")), taus)
+
+
+def neighbour_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The nine feature columns of every site and hour."""
+    c = counts(spark, d)
+    mean = c.groupBy("site").agg(F.avg(F.log1p("y")).alias("mean_log"))
+    return reconstruct.features(reconstruct.neighbour_sums(c, geo.times(spark, d), geo.sites(spark, d).select(F.col("id").alias("site")), reconstruct.FEATURE_TAUS, mean))
 
 
 def idw_sql(tau: str) -> str:
@@ -40,7 +49,7 @@ def idw_sql(tau: str) -> str:
 @R(f"WITH {PAIRS}, i AS ({idw_sql('300.0')}) SELECT site, CAST(ts AS VARCHAR) AS ts, round(pred, 5) AS pred FROM i")
 def idw_predict(spark: SparkSession, d: str) -> DataFrame:
     """M17."""
-    return reconstruct.idw(site_pairs(spark, d), 300.0).select("site", F.col("ts").cast("string").alias("ts"), F.round("pred", 5).alias("pred"))
+    return reconstruct.idw(neighbours(spark, d, (300.0,)), 300.0).select("site", F.col("ts").cast("string").alias("ts"), F.round("pred", 5).alias("pred"))
 
 
 @R(f"""WITH {PAIRS}, dm AS (SELECT site, avg(ln(1 + y)) AS ml FROM c GROUP BY 1), x AS (SELECT p.*, ln(1 + y) AS l, ml FROM p JOIN dm ON dm.site = p.dst)
@@ -48,21 +57,20 @@ SELECT site, CAST(ts AS VARCHAR) AS ts, round(avg(l), 5) AS city, round(sum(exp(
   round(sum(exp(-cost / 600) * (l - ml)) / sum(exp(-cost / 600)), 4) AS anomaly, round(arg_min(l, cost), 5) AS near, round(min(cost) / 60, 5) AS near_min, count(*) AS available FROM x GROUP BY 1, 2""")
 def neighbour_features(spark: SparkSession, d: str) -> DataFrame:
     """M18 W09."""
-    dm = counts(spark, d).groupBy("site").agg(F.avg(F.log1p("y")).alias("mean_log"))
-    f = reconstruct.features(site_pairs(spark, d), dm)
+    f = neighbour_columns(spark, d)
     return f.select("site", F.col("ts").cast("string").alias("ts"), *[F.round(c, 4 if c == "anomaly" else 5).alias(c) for c in ("city", "w180", "m180", "w600", "m600", "anomaly", "near", "near_min")], "available")
 
 
 @R(f"WITH {PAIRS}, " + ", ".join(f"i{t} AS ({idw_sql(t + '.0')})" for t in ("120", "300", "600", "1200")) + ", u AS (" + " UNION ALL ".join(f"SELECT {t}.0::DOUBLE AS tau, avg(abs(c.y - i.pred)) AS mae FROM i{t} i JOIN c USING (site, ts)" for t in ("120", "300", "600", "1200")) + ") SELECT tau, round(mae, 6) AS mae FROM u WHERE mae IS NOT NULL")
 def tau_grid(spark: SparkSession, d: str) -> DataFrame:
     """Errors of a grid of scales in one pass."""
-    return reconstruct.grid_errors(site_pairs(spark, d), counts(spark, d)).withColumn("mae", F.round("mae", 6))
+    return reconstruct.grid_errors(neighbours(spark, d, reconstruct.TAUS), counts(spark, d)).withColumn("mae", F.round("mae", 6))
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """Two models side by side: model, site, ts, y, pred. `idw` weighs neighbours, `mean` does not."""
-    p = site_pairs(spark, d)
-    one = p.groupBy("site", "ts").agg((F.sum(F.exp(-F.col("cost") / 300.0) * F.col("y")) / F.sum(F.exp(-F.col("cost") / 300.0))).alias("idw"), F.avg("y").alias("mean"))
+    p = neighbours(spark, d, (300.0,))
+    one = p.select("site", "ts", (F.col("s300") / F.col("w300")).alias("idw"), (F.col("total") / F.col("available")).alias("mean"))
     j = counts(spark, d).join(one, ["site", "ts"])
     return j.unpivot(["site", "ts", "y"], ["idw", "mean"], "model", "pred")
 
@@ -254,14 +262,14 @@ def validation_split(spark: SparkSession, d: str) -> DataFrame:
 @R(f"WITH {C} SELECT site, CAST(ts AS VARCHAR) AS ts, y FROM c ORDER BY md5(site || '|' || CAST(ts AS VARCHAR) || '|9'), site, ts LIMIT 2000")
 def seeded_subsample(spark: SparkSession, d: str) -> DataFrame:
     """A sampling operator; the same rows for any partitioning."""
-    c = counts(spark, d).withColumn("ts", F.col("ts").cast("string"))
+    c = counts(spark, d).drop("block").withColumn("ts", F.col("ts").cast("string"))
     return reconstruct.subsample(c, ["site", "ts"], 9, 2000)
 
 
 @R(f"WITH {C}, s AS (SELECT avg(y) AS m, stddev_pop(y) AS sd FROM c) SELECT site, CAST(ts AS VARCHAR) AS ts, round((y - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 5) AS y, CASE WHEN hour(ts) = 8 THEN 1 ELSE 0 END AS hour_8, CASE WHEN hour(ts) = 17 THEN 1 ELSE 0 END AS hour_17 FROM c, s")
 def standardised_design(spark: SparkSession, d: str) -> DataFrame:
     """Z-scores and indicators."""
-    c = counts(spark, d).withColumn("hour", F.hour("ts"))
+    c = counts(spark, d).drop("block").withColumn("hour", F.hour("ts"))
     x = reconstruct.one_hot(reconstruct.standardised(c, ["y"]), "hour", [0, 8, 17]).drop("hour")
     return x.withColumn("ts", F.col("ts").cast("string")).withColumn("y", F.round("y", 5))
 
@@ -428,6 +436,5 @@ R()(ridge_poisson)
 
 
 def _design(spark: SparkSession, d: str) -> DataFrame:
-    dm = counts(spark, d).groupBy("site").agg(F.avg(F.log1p("y")).alias("mean_log"))
-    f = reconstruct.features(site_pairs(spark, d), dm)
+    f = neighbour_columns(spark, d)
     return f.join(counts(spark, d), ["site", "ts"]).withColumn("is_val", F.pmod(F.xxhash64("site"), F.lit(4)) == 0)
