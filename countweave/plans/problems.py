@@ -31,15 +31,25 @@ def spike_readings(spark: SparkSession, d: str) -> DataFrame:
     return jumps.unionByName(swaps).unionByName(dq)
 
 
-def p1_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Every non-null reading of the three tables with its flags."""
+def _spikes(readings: DataFrame) -> DataFrame:
     hours = F.col("src_table") == "data_quality"
     rules = spikes.Rules(flat=F.when(hours, F.lit(100.0)), zero_runs_normal=hours)
-    return spikes.flag(spike_readings(spark, d), ["src_table", "source"], ["ord", "row_id"], "x", F.col("impossible"), rules, stretch=F.substring("ord", 1, 4))
+    return spikes.flag(readings, ["src_table", "source"], ["ord", "row_id"], "x", F.col("impossible"), rules, stretch=F.substring("ord", 1, 4), fine=F.col("row_id"))
+
+
+def p1_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Every non-null reading of the three tables with its flags: tails by the cutoff alone, on
+    residuals from the quarter's or the month's usual level where a source has eight of each."""
+    quarter, month = F.substring("ord", 6, 2), F.substring("ord", 6, 2)
+    phase = F.when(F.col("src_table") == "data_quality", quarter).when(F.col("src_table") == "device_swap_steps", month)
+    return _spikes(spikes.deseasonalised(spike_readings(spark, d), ["src_table", "source"], phase, "x"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_flags(spark, d).where("flagged").select("src_table", "row_id")
+    """The cases as stated: readings compared with the source's others of any season; the tail's
+    candidates are held against five spreads."""
+    x = _spikes(spike_readings(spark, d))
+    return x.where("impossible OR stuck OR (tail AND far)").select("src_table", "row_id")
 
 
 P1_SQL = """
