@@ -1,22 +1,28 @@
 """Personal information in free text: found by a skip-chain conditional random field.
 
-Lines are chains of tokens (pii_text) with the labels O, name, address (each begin/inside),
+Sentences are chains of tokens (pii_text) with the labels O, name, address (each begin/inside),
 email, phone, id. Node potentials are tables over the lexical classes and cue words around a
-token, edge potentials a transition table. Equal words of one document (folded case and
-accents) are linked to their next occurrence by a skip edge that favours equal labels. Loopy
-message passing alternates exact chain passes (all lines of a batch at once, as arrays) with
-messages over the skip edges; links run from one occurrence to the next, so a word that occurs
-n times has n - 1 links, not n^2 / 2.
-
-The tables are trained here, by gradient ascent on the likelihood of SAMPLES lines made from
-templates with invented names and numbers (pii_lines, seeded), when a query first needs them:
-no labelled text exists and none of the corpus is used. The name list is a lexicon feature; at
-most LARGEST_LIST of its rows are read, more are refused. It may be incomplete: beginnings and
-ends of its family names serve for others.
-
-After decoding an exact check trims spans and drops what cannot be meant: lone given names,
-names without any family name, addresses without house number, telephone numbers of a wrong
-length, insurance numbers with a wrong check digit.
+token, edge potentials a transition table. Words of one document that are equal (folded case and
+accents) or similar (up to one letter left out of each, or two neighbours swapped) are linked to the
+previous occurrence by a skip edge; its potentials, for equal and for similar words, are learned as
+the others are. Loopy message passing alternates exact chain passes (all sentences of a batch at
+once, as arrays) with messages over the skip edges; links run from one occurrence to the one before,
+so a word that occurs n times has n - 1 links, not n^2 / 2.
+
+The tables are trained here (pii_train) on generated texts of another kind than any corpus
+(pii_lines): no labelled text exists and none of the corpus is used. What was learned is a file of
+this package, which `python -m countweave.llm.pii_train` makes anew. The name list is a lexicon
+feature. It may be incomplete: beginnings and ends of its family names serve for others. A name of
+unknown kind counts as either. The list goes to all tasks, so its rows are counted: beyond
+`largest` (1 000 000, a parameter) it is refused by an error, never cut.
+
+Sentences without anything that an item must have (pii_text.ANY: a sign of mail, digits, a form of
+address, two capitals, ...) are not read token by token: the exact check below would take nothing
+from them. That check follows decoding: it trims spans and drops what cannot be meant, such as lone
+given names, names without any family name, addresses without house number, telephone numbers of a
+wrong length, insurance numbers with a wrong check digit. The tokenizer offers mail addresses,
+telephone, insurance and document numbers as single tokens by their form; the field decides
+whether such a token is one, and no other token can be.
 
 Null and empty texts have no spans. Placeholders are [EMAIL], [PHONE], [ID], [ADDRESS], [NAME].
 """
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +39,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from countweave.functions.partitions import spread
-from countweave.llm import pii_lines
-from countweave.llm.pii_text import CLASSES, CLS, ROLES, SHAPES, Lexicon, ahv_valid, fold, near, other_class, tokens
+from countweave.llm.pii_text import CLASSES, CLS, CUT, ROLES, SHAPES, Lexicon, ahv_valid, fold, near, other_class, sentences, spellings, tokens
 
 LABELS = ["O", "BN", "IN", "BA", "IA", "E", "P", "D"]
 K = len(LABELS)
 C, S = len(CLASSES), len(SHAPES)
 KINDS = {"BN": "name", "BA": "address", "E": "email", "P": "phone", "D": "id_number"}
 PLACEHOLDER = {"name": "[NAME]", "address": "[ADDRESS]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]"}
-SAMPLES = 3000
-LARGEST_LIST = 200_000
+FITTED = Path(__file__).with_name("pii_model.npz")
+LARGEST_LIST = 1_000_000
 ROUNDS = 3  # of loopy message passing
-SKIP = 1.2  # log potential of equal labels over a skip edge
 LEX_AT, CLS_AT, SHAPE_AT = (-2, -1, 0, 1, 2), (-2, -1, 0, 1, 2), (-1, 0, 1)
+EQUAL, SIMILAR = 0, 1  # kinds of skip edges
+# groups of label pairs whose potentials a kind of skip edge learns: both O, the same kind of item
+BOTH_O = np.array([[a == b == "O" for b in LABELS] for a in LABELS])
+SAME = np.array([[a != "O" and a[-1] == b[-1] for b in LABELS] for a in LABELS])
 
 
 class Batch:
@@ -148,15 +157,14 @@ def best(box: np.ndarray, psi: np.ndarray, a: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, vocabulary: dict[str, int]) -> None:
+    def __init__(self, vocabulary: dict[str, int], tables: dict[str, np.ndarray] | None = None, edges: np.ndarray | None = None, skip: np.ndarray | None = None) -> None:
         self.vocabulary = vocabulary
-        self.tables = {k: np.zeros((n, K)) for k, n in sizes(len(vocabulary) + 1).items()}
-        self.edges = np.zeros((K, K))
-        # prior of the weights: a form of its own speaks for itself wherever it stands
-        self.prior = np.zeros((C, K))
-        for c, label, w in (("email", "E", 10.0), ("ahv", "D", 8.0), ("pass", "D", 6.0), ("phone", "P", 6.0)):
-            self.prior[CLS[c], LABELS.index(label)] = w
-        self.tables["c0"] += self.prior
+        self.tables = tables or {k: np.zeros((n, K)) for k, n in sizes(len(vocabulary) + 1).items()}
+        self.edges = np.zeros((K, K)) if edges is None else edges
+        self.skip = np.zeros((2, 2)) if skip is None else skip  # kind of edge x (both O, same item)
+
+    def parts(self) -> tuple:
+        return self.vocabulary, self.tables, self.edges, self.skip
 
     def scores(self, b: Batch) -> np.ndarray:
         s = np.zeros((b.n, K))
@@ -171,34 +179,38 @@ class Model:
         s = self.scores(b)
         return np.exp(s - s.max(1, keepdims=True))
 
-    def decode(self, b: Batch, links: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Labels of all tokens: ROUNDS of chain passes and messages over the links."""
+    def agreement(self) -> np.ndarray:
+        """Potentials of label pairs by kind of skip edge."""
+        return np.exp(self.skip[:, 0, None, None] * BOTH_O + self.skip[:, 1, None, None] * SAME)
+
+    def messages(self, b: Batch, links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Node potentials after ROUNDS of chain passes and messages over the links (i, j, kind), and
+        for each link the beliefs of both ends without the other's message."""
         psi, a = self.potentials(b), self.transitions()
-        i, j = links
-        if len(i):
-            agree = np.ones((K, K))
-            agree[np.diag_indices(K)] = np.exp(SKIP)
-            for x, y in ((1, 2), (3, 4)):  # begin and inside of one kind agree
-                agree[x, y] = agree[y, x] = np.exp(SKIP)
-            agree[0, 0] = np.exp(SKIP / 4)
-            to_j, to_i = np.ones((len(i), K)), np.ones((len(j), K))
-            for _ in range(ROUNDS):
-                node = psi.copy()
-                np.multiply.at(node, j, to_j)
-                np.multiply.at(node, i, to_i)
-                m = np.ones((b.n, K))
-                for box in b.groups:
-                    got = chain(box, node, a)
-                    live = box >= 0
-                    m[box[live]] = got[live]
-                to_j, to_i = (m[i] / to_i) @ agree, (m[j] / to_j) @ agree
-                to_j /= to_j.sum(1, keepdims=True)
-                to_i /= to_i.sum(1, keepdims=True)
+        i, j, kind = links
+        agree = self.agreement()[kind]
+        to_j, to_i = np.ones((len(i), K)), np.ones((len(j), K))
+        at_i = at_j = to_j
+        node = psi
+        for _ in range(ROUNDS):
+            m = np.ones((b.n, K))
+            for box in b.groups:
+                got = chain(box, node, a)
+                live = box >= 0
+                m[box[live]] = got[live]
+            at_i, at_j = m[i] / to_i, m[j] / to_j
+            to_j, to_i = np.einsum("lx,lxy->ly", at_i, agree), np.einsum("lx,lxy->ly", at_j, agree)
+            to_j /= to_j.sum(1, keepdims=True)
+            to_i /= to_i.sum(1, keepdims=True)
             node = psi.copy()
             np.multiply.at(node, j, to_j)
             np.multiply.at(node, i, to_i)
-            psi = node
-        out = np.zeros(b.n, dtype=np.int64)
+        return node, at_i, at_j, agree
+
+    def decode(self, b: Batch, links: np.ndarray) -> np.ndarray:
+        """Labels of all tokens."""
+        psi = self.messages(b, links)[0] if links.shape[1] else self.potentials(b)
+        a, out = self.transitions(), np.zeros(b.n, dtype=np.int64)
         for box in b.groups:
             live = box >= 0
             out[box[live]] = best(box, psi, a)[live]
@@ -206,131 +218,120 @@ class Model:
 
 
 @lru_cache
-def trained(samples: int = SAMPLES, epochs: int = 22, seed: int = 7) -> Model:
-    """Model fitted to generated lines: deterministic, a few seconds."""
-    lexicon, lines = pii_lines.sample(samples, seed)
-    words: dict[str, int] = {}
-    for text, spans in lines:
-        inside = np.zeros(len(text) + 1, dtype=bool)
-        for _, a, e in spans:
-            inside[a:e] = True
-        for kind, a, _, s in tokens(text):
-            if kind == "word" and not inside[a]:
-                words[fold(s)] = words.get(fold(s), 0) + 1
-    cue = sorted(w for w, n in words.items() if n >= 8 and not lexicon.is_given(w) and not lexicon.is_family(w) and not lexicon.is_morph(w))
-    model = Model({w: i + 1 for i, w in enumerate(cue)})
-    doc = Documents(lexicon, model.vocabulary)
-    gold: list[int] = []
-    for text, spans in lines:
-        starts = doc.add(text)
-        y = [0] * len(starts)
-        for kind, a, e in spans:
-            first = True
-            for t, (ts, te) in enumerate(starts):
-                if ts >= a and te <= e:
-                    y[t] = LABELS.index(kind) if kind in ("E", "P", "D") else LABELS.index(("B" if first else "I") + kind)
-                    first = False
-        gold += y
-    b = doc.batch()
-    truth = np.array(gold)
-    hot = np.zeros((b.n, K))
-    hot[np.arange(b.n), truth] = 1
-    seen = np.zeros((K, K))
-    for box in b.groups:
-        live = box[:, 1:] >= 0
-        np.add.at(seen, (truth[box[:, :-1][live]], truth[box[:, 1:][live]]), 1)
-    g2 = {k: np.full_like(t, 1e-6) for k, t in model.tables.items()}
-    e2 = np.full((K, K), 1e-6)
-    for _ in range(epochs):
-        psi, a = model.potentials(b), model.transitions()
-        m, pairs = np.zeros((b.n, K)), np.zeros((K, K))
-        for box in b.groups:
-            got, p, _ = chain(box, psi, a, gradient=True)
-            live = box >= 0
-            m[box[live]] = got[live]
-            pairs += p
-        diff = hot - m
-        for k, i in b.features.items():
-            g = np.stack([np.bincount(i, weights=diff[:, c], minlength=len(model.tables[k])) for c in range(K)], 1) - (1.0 if k in "tuv" else 0.3) * (model.tables[k] - model.prior if k == "c0" else model.tables[k])
-            g2[k] += g * g
-            model.tables[k] += 0.35 * g / np.sqrt(g2[k])
-        g = seen - pairs - 0.1 * model.edges
-        e2 += g * g
-        model.edges += 0.35 * g / np.sqrt(e2)
-    for k in model.tables:
-        model.tables[k] = model.tables[k].astype(np.float32)
-    return model
+def trained() -> Model:
+    """The fitted model that comes with the package."""
+    with np.load(FITTED) as z:
+        words = [str(w) for w in z["words"]]
+        n = sizes(len(words) + 1)
+        tables = {}
+        for k in n:  # rows that were never seen are zero and left out of the file
+            tables[k] = np.zeros((n[k], K), dtype=np.float32)
+            tables[k][z[f"at_{k}"]] = z[f"w_{k}"]
+        return Model({w: i + 1 for i, w in enumerate(words)}, tables, z["edges"], z["skip"])
 
 
 class Documents:
-    """Gathers documents into one Batch."""
+    """Gathers documents into one Batch. Sentences that recur are read once (a bounded table)."""
 
     def __init__(self, lexicon: Lexicon, vocabulary: dict[str, int]) -> None:
         self.lexicon, self.vocabulary = lexicon, vocabulary
-        self.folded: dict[str, str] = {}
+        self.known: dict[tuple[str, str], tuple[int, int, int, str, list[str]]] = {}
+        self.read: dict[str, tuple] = {}
         self.clear()
 
     def clear(self) -> None:
         self.cls: list[int] = []
         self.shape: list[int] = []
         self.lex: list[int] = []
-        self.lines: list[list[int]] = []
-        self.links: tuple[list[int], list[int]] = ([], [])
-        self.held: list[tuple[int, list[tuple[str, int, int, str]]]] = []
-
-    def fold(self, s: str) -> str:
-        f = self.folded.get(s)
-        if f is None:
-            if len(self.folded) > 200_000:
-                self.folded.clear()
-            f = self.folded[s] = fold(s.rstrip("."))
-        return f
-
-    def add(self, text: str) -> list[tuple[int, int]]:
-        found = tokens(text)
-        base = len(self.cls)
-        self.held.append((base, found))
-        last: dict[str, int] = {}
-        line: list[int] = []
-        word, vocabulary = self.lexicon.word, self.vocabulary
-        for n, (kind, _, _, s) in enumerate(found, base):
-            lex = shape = 0
-            if kind == "word":
-                c, shape = word(s)
-                f = self.fold(s)
-                lex = vocabulary.get(f, 0)
-                if not lex and shape > 1 and len(f) > 3:
-                    if f in last:
-                        self.links[0].append(last[f])
-                        self.links[1].append(n)
-                    last[f] = n
-            else:
-                name = other_class(kind, s)
-                if name == "ahv" and not ahv_valid(s):
-                    name = "num"
-                c = CLS[name]
-                if name == "sym" and (v := vocabulary.get(s)):
-                    lex = v
-            self.cls.append(c)
-            self.shape.append(shape)
-            self.lex.append(lex)
-            line.append(n)
-            if kind == "nl":
-                self.lines.append(line)
-                line = []
-        if line:
-            self.lines.append(line)
-        return [(a, b) for _, a, b, _ in found]
+        self.lines: list[range] = []
+        self.linked: tuple[list[int], list[int], list[int]] = ([], [], [])
+        self.held: list[list[tuple[int, int, list[tuple[str, int, int, str]]]]] = []
+
+    def token(self, kind: str, s: str) -> tuple[int, int, int, str, list[str]]:
+        """Class, shape and cue number of a token, the folded word and the spellings it is linked by."""
+        if kind == "word":
+            c, shape = self.lexicon.word(s)
+            f = fold(s.rstrip("."))
+            lex = self.vocabulary.get(f, 0)
+            linked = not lex and shape > 1 and len(f) > 2
+            return c, shape, lex, f, (spellings(f) if len(f) > 4 else [f]) if linked else []
+        name = other_class(kind, s)
+        if name == "ahv" and not ahv_valid(s):
+            name = "num"
+        return CLS[name], 0, self.vocabulary.get(s, 0) if name == "sym" else 0, "", []
+
+    def sentence(self, text: str) -> tuple:
+        """Tokens, classes, shapes and cues of a sentence, and its linked words (place, word, spellings)."""
+        known, found = self.known, tokens(text)
+        cls, shape, lex, words = [], [], [], []
+        for n, (kind, _, _, s) in enumerate(found):
+            t = known.get((kind, s))
+            if t is None:
+                if len(known) > 200_000:
+                    known.clear()
+                t = known[kind, s] = self.token(kind, s)
+            cls.append(t[0])
+            shape.append(t[1])
+            lex.append(t[2])
+            if t[4]:
+                words.append((n, t[3], t[4]))
+        return found, cls, shape, lex, words
+
+    def add(self, text: str, whole: bool = False) -> list[tuple[int, int]]:
+        """Adds a document's sentences that can hold an item (all of them where `whole`); the bounds
+        of its tokens."""
+        last: dict[str, tuple[int, str]] = {}
+        mine, linked, read = [], self.linked, self.read
+        for a, e in _all_sentences(text) if whole else sentences(text):
+            part = text[a:e]
+            got = read.get(part)
+            if got is None:
+                got = self.sentence(part)
+                if len(part) <= 400:
+                    if len(read) > 20_000:
+                        read.clear()
+                    read[part] = got
+            found, cls, shape, lex, words = got
+            base = len(self.cls)
+            self.cls += cls
+            self.shape += shape
+            self.lex += lex
+            mine.append((base, a, found))
+            if found:
+                self.lines.append(range(base, base + len(found)))
+            for n, f, keys in words:
+                before = max((last[k] for k in keys if k in last), default=None)
+                if before:
+                    linked[0].append(before[0])
+                    linked[1].append(base + n)
+                    linked[2].append(EQUAL if before[1] == f else SIMILAR)
+                for k in keys:
+                    last[k] = (base + n, f)
+        self.held.append(mine)
+        return [(a + x, a + y) for _, a, found in mine for _, x, y, _ in found]
+
+    def links(self) -> np.ndarray:
+        return np.array(self.linked, dtype=np.int64).reshape(3, -1)
 
     def batch(self) -> Batch:
         return Batch(self.lines, np.array(self.cls, dtype=np.int64), np.array(self.shape, dtype=np.int64), np.array(self.lex, dtype=np.int64))
 
 
+def _all_sentences(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    for m in CUT.finditer(text):
+        yield at, m.start()
+        at = m.end()
+    yield at, len(text)
+
+
 ROLE_FOLDS = [fold(r) for r in ROLES]
 
 
+@lru_cache(100_000)
 def _is_role(f: str) -> bool:
-    return len(f) > 4 and any(near(f, r) for r in ROLE_FOLDS)
+    """A role, or up to one letter off, two for long words."""
+    return len(f) > 4 and any(near(f, r, 2 if len(r) > 8 else 1) for r in ROLE_FOLDS)
 
 
 def checked(kind: str, span: list[tuple[str, int, int, str]], before: list[tuple[str, int, int, str]], lexicon: Lexicon) -> tuple[int, int] | None:
@@ -361,7 +362,7 @@ def checked(kind: str, span: list[tuple[str, int, int, str]], before: list[tuple
             return None
         plain = [t for t in span if t[0] == "word" and lexicon.word(t[3])[0] != CLS["part"] and len(t[3]) > 1]
         titled = bool(before) and before[-1][0] == "word" and lexicon.word(before[-1][3])[0] == CLS["title"]
-        if not plain or not all(any(c.isupper() for c in t[3]) for t in plain) or any(_is_role(fold(t[3])) for t in plain):
+        if not plain or not all(any(c.isupper() for c in t[3]) for t in plain) or any(_is_role(fold(t[3])) for t in plain if lexicon.word(t[3])[0] not in (CLS["given"], CLS["fam"])):
             return None
         classes = {lexicon.word(t[3])[0] for t in plain}
         if not classes & {CLS["given"], CLS["fam"], CLS["morph"]} and all(t[3].isupper() for t in plain):
@@ -383,29 +384,32 @@ def checked(kind: str, span: list[tuple[str, int, int, str]], before: list[tuple
 def spans_of(docs: Documents, labels: np.ndarray) -> list[list[tuple[str, int, int]]]:
     """Per held document: (kind, start, end) in order."""
     out = []
-    for base, found in docs.held:
-        y = labels[base : base + len(found)]
+    for mine in docs.held:
         got = []
-        for t in np.flatnonzero(y):
-            name = LABELS[y[t]]
-            if name not in KINDS:
-                continue
-            e = t + 1
-            if name in ("BN", "BA"):
-                while e < len(found) and LABELS[y[e]] == "I" + name[1]:
-                    e += 1
-            if bounds := checked(KINDS[name], found[t:e], found[max(0, t - 3) : t], docs.lexicon):
-                got.append((KINDS[name], *bounds))
+        for base, at, found in mine:
+            y = labels[base : base + len(found)]
+            for t in np.flatnonzero(y):
+                name = LABELS[y[t]]
+                if name not in KINDS:
+                    continue
+                e = t + 1
+                if name in ("BN", "BA"):
+                    while e < len(found) and LABELS[y[e]] == "I" + name[1]:
+                        e += 1
+                if bounds := checked(KINDS[name], found[t:e], found[max(0, t - 3) : t], docs.lexicon):
+                    got.append((KINDS[name], bounds[0] + at, bounds[1] + at))
         out.append(got)
     return out
 
 
-def lexicon_rows(names: DataFrame) -> tuple[list[str], list[str]]:
-    """The name list on the driver; refused beyond LARGEST_LIST rows."""
-    rows = names.select("name", "name_kind").where("name IS NOT NULL").limit(LARGEST_LIST + 1).collect()
-    if len(rows) > LARGEST_LIST:
-        raise ValueError(f"name list of more than {LARGEST_LIST} rows")
-    return [r[0] for r in rows if r[1] == "given"], [r[0] for r in rows if r[1] == "family"]
+def lexicon_rows(names: DataFrame, largest: int = LARGEST_LIST) -> tuple[list[str], list[str]]:
+    """Given and family names on the driver; an error beyond `largest` rows. A kind that is neither
+    of the two, or null, counts as both."""
+    rows = names.select("name", "name_kind").where("name IS NOT NULL").limit(largest + 1).collect()
+    if len(rows) > largest:
+        raise ValueError(f"name list of more than {largest} rows")
+    kind = [(r[0], (r[1] or "").strip().lower()) for r in rows]
+    return [n for n, k in kind if k != "family"], [n for n, k in kind if k != "given"]
 
 
 def _finder(model: Model, given: list[str], family: list[str], most: int = 300_000):
@@ -420,9 +424,7 @@ def _finder(model: Model, given: list[str], family: list[str], most: int = 300_0
             held += 1
             if size >= most or k + 1 == len(texts):
                 if docs.cls:
-                    b = docs.batch()
-                    links = (np.array(docs.links[0], dtype=np.int64), np.array(docs.links[1], dtype=np.int64))
-                    yield from spans_of(docs, model.decode(b, links))
+                    yield from spans_of(docs, model.decode(docs.batch(), docs.links()))
                 else:
                     yield from ([] for _ in range(held))
                 docs.clear()
@@ -432,10 +434,9 @@ def _finder(model: Model, given: list[str], family: list[str], most: int = 300_0
     return find
 
 
-def found(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+def found(df: DataFrame, key: str, text: str, names: DataFrame, largest: int = LARGEST_LIST) -> DataFrame:
     """key, kind, start_pos, end_pos (code points, end excluded) of every item in every text."""
-    model = trained()
-    shared = df.sparkSession.sparkContext.broadcast((model.vocabulary, model.tables, model.edges, *lexicon_rows(names)))
+    shared = df.sparkSession.sparkContext.broadcast((trained().parts(), *lexicon_rows(names, largest)))
     schema = T.StructType([df.schema[key], T.StructField("kind", T.StringType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,10 +452,9 @@ def found(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     return spread(df.select(key, text), key).mapInArrow(work, schema)
 
 
-def redacted(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+def redacted(df: DataFrame, key: str, text: str, names: DataFrame, largest: int = LARGEST_LIST) -> DataFrame:
     """key, text with typed placeholders, everything else as it was (null stays null)."""
-    model = trained()
-    shared = df.sparkSession.sparkContext.broadcast((model.vocabulary, model.tables, model.edges, *lexicon_rows(names)))
+    shared = df.sparkSession.sparkContext.broadcast((trained().parts(), *lexicon_rows(names, largest)))
     schema = T.StructType([df.schema[key], T.StructField("text", T.StringType()), T.StructField("n_items", T.IntegerType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,7 +475,5 @@ def redacted(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
 
 
 def _of(shared: tuple):
-    vocabulary, tables, edges, given, family = shared
-    m = Model.__new__(Model)
-    m.vocabulary, m.tables, m.edges = vocabulary, tables, edges
-    return _finder(m, given, family)
+    parts, given, family = shared
+    return _finder(Model(*parts), given, family)

@@ -39,11 +39,30 @@ TOKEN = re.compile(
 # Forms of address, particles and street words of the languages of the forum.
 TITLES = set("herr herrn frau fräulein mr mrs ms miss mister sir monsieur m mme madame mademoiselle mlle signor signora signore signorina sig dr prof ing lic familie fam".split())
 PARTICLES = set("de di da del della von van der den zu zur vom le la du des dos do ten ter af".split())
-STREET_END = tuple("strasse straße str gasse weg platz rain hag quai allee ring halde matt matte graben steig pfad ufer damm hof dorf gässli wegli street road lane avenue drive".split())
+STREET_END = tuple("strasse straße str gasse weg platz rain hag quai allee ring halde matt matte graben steig pfad ufer damm hof dorf bruecke steg unterfuehrung tunnel bahnhof gässli wegli street road lane avenue drive".split())
 STREET_START = set("rue via chemin avenue av boulevard bd route ruelle place impasse allée quai viale piazza corso vicolo strada am im an".split())
 ROLES = "stadtrat stadträtin gemeindepräsident gemeindepräsidentin präsident präsidentin president presidente président présidente direktor direktorin sindaco maire mayor nationalrat doktor professor minister vorsitzende kollege kollegin nachbar".split()
 
-CLASSES = "pad nl low cap up given fam morph init title part street strword house letter code post num email phone ahv pass handle bar comma dot colon rule quote bracket sym url".split()
+UPPER = "A-ZÀ-ÖØ-Þ"
+SMALL = "(?i:(?:" + "|".join(sorted(PARTICLES)) + r")\s+|d['’])"
+# Sentences are the tagger's chains: cut at line ends and after the full stop of a word of five letters.
+CUT = re.compile(r"(?<=[^\W\d_]{5}[.!?…])(?<!(?i:str)[.])\s+|\n+")
+# What any item must have: a sign of mail, digits enough for a number, a capital or street word beside
+# a short number, a form of address, or two capitals with at most particles between them.
+ANY = re.compile(
+    rf"""
+    @|&\#64;|&\#x40;|[\[({{{{]\s?(?i:at|ät|arobase|chiocciola)\s?[\])}}}}]|\s(?i:ät|arobase|chiocciola)\s
+  | (?i:\sat\s\S+\s?[\[({{]?\s?(?:dot|punkt|point|punto))
+  | (?:\d[\s\u00a0().,/+-]{{0,3}}){{9}}|[A-Z]\s{{0,2}}\d{{7}}
+  | [{UPPER}][^\s\d]*[\s,]{{0,3}}\d{{1,3}}(?!\d)
+  | \d{{1,3}}\s?[a-z]?,?\s{{1,2}}(?i:{"|".join(sorted(STREET_START))})\b
+  | (?i:\b(?:{"|".join(sorted(TITLES))})\b)
+  | [{UPPER}](?:[^\s.;:!?]*|\.(?:-?[{UPPER}]\.)*)[\s,("'«]*{SMALL}{{0,2}}[{UPPER}]
+    """,
+    re.VERBOSE,
+)
+
+CLASSES = "pad nl low cap up given fam morph init title part street strword house letter code post num email phone intl ahv pass handle bar comma dot colon rule quote bracket sym url".split()
 CLS = {c: i for i, c in enumerate(CLASSES)}
 SHAPES = "none low cap up mixed".split()
 
@@ -66,9 +85,9 @@ def fold(w: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c))
 
 
-def near(a: str, b: str) -> bool:
-    """Equal up to two changed, missing or swapped letters."""
-    if abs(len(a) - len(b)) > 2:
+def near(a: str, b: str, most: int = 2) -> bool:
+    """Equal up to `most` changed, missing or swapped letters (a swap of neighbours is one)."""
+    if abs(len(a) - len(b)) > most:
         return False
     prev2, prev = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -79,7 +98,12 @@ def near(a: str, b: str) -> bool:
                 v = min(v, prev2[j - 2] + 1)
             row.append(v)
         prev2, prev = prev, row
-    return prev[-1] <= 2
+    return prev[-1] <= most
+
+
+def spellings(w: str) -> list[str]:
+    """The word and all words with one letter less: similar words share one."""
+    return [w, *(w[:i] + w[i + 1 :] for i in range(len(w)))]
 
 
 class Lexicon:
@@ -154,6 +178,8 @@ def other_class(kind: str, s: str) -> str:
         if digits.isdigit():
             return "house" if len(digits) <= 3 else "code" if len(s) == 4 else "num"
         return "num"
+    if kind == "phone" and s[0] == "+":
+        return "intl"
     if kind == "ent":
         return "quote"
     if kind == "sym":
@@ -161,6 +187,18 @@ def other_class(kind: str, s: str) -> str:
     return kind
 
 
+def sentences(text: str) -> list[tuple[int, int]]:
+    """Bounds of the sentences that can hold an item at all (ANY); the others have none."""
+    out, at, search = [], 0, ANY.search
+    for m in CUT.finditer(text):
+        if search(text, at, m.start()):
+            out.append((at, m.start()))
+        at = m.end()
+    if at < len(text) and search(text, at):
+        out.append((at, len(text)))
+    return out
+
+
 def tokens(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, text) of every token, line breaks included."""
     out = []

@@ -1,7 +1,13 @@
+import os
+import re
+
+import numpy as np
 import pytest
 
-from countweave.llm import pii, pii_lines
-from countweave.llm.pii_text import ahv_valid, fold, near, tokens
+from countweave.llm import pii, pii_lines, pii_train
+from countweave.llm.pii_text import ahv_valid, fold, near, sentences, spellings, tokens
+
+DATA = os.environ.get("COUNTWEAVE_TESTDATA", "/root/testdata/sf0.001")
 
 KIND = {"N": "name", "A": "address", "E": "email", "P": "phone", "D": "id_number"}
 
@@ -60,7 +66,62 @@ def test_redaction_keeps_the_rest(spark):
 
 
 def test_pieces():
+    assert set(spellings("meier")) & set(spellings("meyer")) and not set(spellings("meier")) & set(spellings("huber"))
     assert fold("KÃ¤thi") == fold("Käthi") == "kaethi" and near("stadtrat", "stadrtat") and not near("mosnmann", "stadtrat")
     assert ahv_valid("756.1234.5678.97") and not ahv_valid("756.1234.5678.90")
     text = "ä 🚴 a.b@c.de\n+41 44 555 11 22"
     assert all(text[a:b] == s for _, a, b, s in tokens(text))
+
+
+def test_training_texts_share_nothing_with_the_documents():
+    """No piece of a sentence that the tagger is trained on occurs in the test documents."""
+    path = f"{DATA}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    import pyarrow.parquet as pq
+
+    corpus = "\n".join(t for t in pq.read_table(path, columns=["text"]).column("text").to_pylist() if t)
+    pieces = [x.strip() for t in pii_lines.PERSONAL + pii_lines.PLAIN for x in re.split(r"\{\w+\}|\n", t)]
+    assert [x for x in pieces if len(x) > 12 and x in corpus] == []
+
+
+def test_names_like_roles(model):
+    for name in ("Meier", "Maurer", "Maria"):
+        t = f"Der Vertrag wurde von Peter {name} unterzeichnet."
+        assert ("name", f"Peter {name}") in spans_with(model, t, given=("Peter", "Maria"), family=("Meier", "Maurer", "Maria"))
+    assert spans(model, "Liebe Frau Gemeindepräsidnetin, wo bleibt die Quittung?") == []
+
+
+def spans_with(model, text, given, family):
+    return [(k, text[a:b]) for k, a, b in next(iter(pii._finder(model, list(given), list(family))([text])))]
+
+
+def test_skip_edges_are_learned_and_used(model):
+    """Equal and similar words of a document share their labels: what is learned favours the same
+    item, and a second mention is found that no sentence of its own tells."""
+    assert model.skip[pii.EQUAL, 1] > 0.5 and model.skip[pii.SIMILAR, 1] > 0.5
+    doc = pii.Documents(pii.Lexicon([], []), {})
+    doc.add("Der Vertrag von Xaver Brukelmann.\nDanach kam Brukelman, Danach ging Brukelmann.", whole=True)
+    kinds = doc.links()[2].tolist()
+    assert kinds.count(pii.SIMILAR) == 2 and kinds.count(pii.EQUAL) == 1  # each to the mention before
+
+
+def test_sentences_without_an_item_are_left_out():
+    text = "ohne etwas darin. Immer noch nichts! Herr Muster kam.\nund um acht\nMail: a@b.ch"
+    assert [text[a:b] for a, b in sentences(text)] == ["Herr Muster kam.", "Mail: a@b.ch"]
+    assert sentences("") == []
+
+
+def test_kinds_of_the_name_list(spark):
+    names = spark.createDataFrame([("Ada", "given"), ("Bo", " Family "), ("Cy", None), ("Di", "nick"), (None, "given")], "name string, name_kind string")
+    assert pii.lexicon_rows(names) == (["Ada", "Cy", "Di"], ["Bo", "Cy", "Di"])
+    with pytest.raises(ValueError):
+        pii.lexicon_rows(names, largest=3)
+
+
+def test_stored_model_is_what_training_gives():
+    """A small training run is deterministic, and the stored file holds tables of the present shape."""
+    a, b = pii_train.fit(60, 3), pii_train.fit(60, 3)
+    assert all(np.array_equal(a.tables[k], b.tables[k]) for k in a.tables) and np.array_equal(a.skip, b.skip)
+    m = pii.trained()
+    assert {k: t.shape for k, t in m.tables.items()} == {k: (n, pii.K) for k, n in pii.sizes(len(m.vocabulary) + 1).items()}
