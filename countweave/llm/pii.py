@@ -57,24 +57,14 @@ SAME = np.array([[a != "O" and a[-1] == b[-1] for b in LABELS] for a in LABELS])
 
 
 class Batch:
-    """Index arrays of many lines: each line is a row of `at` (token numbers, -1 pads)."""
+    """Index arrays of many lines: each line is a row of a box (token numbers, -1 pads). Lines that a
+    skip edge touches have boxes of their own, `linked`: only these need message passing."""
 
-    def __init__(self, lines: list[list[int]], cls: np.ndarray, shape: np.ndarray, lex: np.ndarray) -> None:
+    def __init__(self, lines: list[range], linked: list[bool], cls: np.ndarray, shape: np.ndarray, lex: np.ndarray) -> None:
         self.n = len(cls)
-        order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
-        self.groups = []
-        at = 0
-        while at < len(order):  # rows of similar length share a rectangle
-            width = max(8, int(len(lines[order[at]]) * 1.5))
-            end = at
-            while end < len(order) and len(lines[order[end]]) <= width and (end - at) * width < 150_000:
-                end += 1
-            width = len(lines[order[end - 1]])
-            box = np.full((end - at, width), -1, dtype=np.int64)
-            for r, i in enumerate(order[at:end]):
-                box[r, : len(lines[i])] = lines[i]
-            self.groups.append(box)
-            at = end
+        alone = [line for line, k in zip(lines, linked) if not k]
+        self.linked = self.boxes([line for line, k in zip(lines, linked) if k])
+        self.groups = self.linked + self.boxes(alone)
         left = {1: np.full(self.n, -1), 2: np.full(self.n, -1)}
         right = {1: np.full(self.n, -1), 2: np.full(self.n, -1)}
         for box in self.groups:
@@ -91,6 +81,23 @@ class Batch:
         self.features |= {"p-": c[-1] * C + c[0], "p+": c[0] * C + c[1], "t": (c[-1] * C + c[0]) * C + c[1], "u": (c[0] * C + c[1]) * C + c[2], "v": (c[-2] * C + c[-1]) * C + c[0]}
 
 
+    @staticmethod
+    def boxes(lines: list[range]) -> list[np.ndarray]:
+        """Rows of similar length share a rectangle."""
+        lines = sorted(lines, key=len)
+        out, at = [], 0
+        while at < len(lines):
+            width = max(8, int(len(lines[at]) * 1.5))
+            end = at
+            while end < len(lines) and len(lines[end]) <= width and (end - at) * width < 150_000:
+                end += 1
+            step = np.arange(len(lines[end - 1]))
+            start, size = (np.array(x)[:, None] for x in zip(*((line.start, len(line)) for line in lines[at:end])))
+            out.append(np.where(step < size, start + step, -1))
+            at = end
+        return out
+
+
 def sizes(vocabulary: int) -> dict[str, int]:
     return {**{f"c{d}": C for d in CLS_AT}, **{f"l{d}": vocabulary for d in LEX_AT}, **{f"s{d}": S for d in SHAPE_AT}, "p-": C * C, "p+": C * C, "t": C**3, "u": C**3, "v": C**3}
 
@@ -104,8 +111,9 @@ def chain(box: np.ndarray, psi: np.ndarray, a: np.ndarray, gradient: bool = Fals
     transitions and the log partition where a gradient is wanted."""
     rows, width = box.shape
     live = box >= 0
-    node = np.where(live[..., None], psi[np.maximum(box, 0)], 1.0)
-    alpha, beta = np.empty((width, rows, K)), np.empty((width, rows, K))
+    node = np.where(live[..., None], psi[np.maximum(box, 0)], psi.dtype.type(1))
+    a = a.astype(psi.dtype)
+    alpha, beta = np.empty((width, rows, K), psi.dtype), np.empty((width, rows, K), psi.dtype)
     scale = np.empty((width, rows))
     x = node[:, 0] * FIRST
     for t in range(width):
@@ -115,7 +123,7 @@ def chain(box: np.ndarray, psi: np.ndarray, a: np.ndarray, gradient: bool = Fals
         s = x.sum(1)
         x = x / s[:, None]
         alpha[t], scale[t] = x, s
-    y = np.ones((rows, K))
+    y = np.ones((rows, K), psi.dtype)
     beta[-1] = y
     for t in range(width - 1, 0, -1):
         z = (node[:, t] * y) @ a.T
@@ -138,10 +146,10 @@ def best(box: np.ndarray, psi: np.ndarray, a: np.ndarray) -> np.ndarray:
     """Most likely label sequence of each line (Viterbi)."""
     rows, width = box.shape
     live = box >= 0
-    node = np.log(np.where(live[..., None], psi[np.maximum(box, 0)], 1.0) + 1e-300)
-    la = np.log(a + 1e-300)
+    node = np.log(np.where(live[..., None], psi[np.maximum(box, 0)], 1.0) + 1e-30).astype(np.float32)
+    la = np.log(a + 1e-30).astype(np.float32)
     back = np.zeros((width, rows, K), dtype=np.int8)
-    x = node[:, 0] + np.where(FIRST, 0.0, -1e9)
+    x = node[:, 0] + np.where(FIRST, 0.0, -1e9).astype(np.float32)
     for t in range(1, width):
         q = x[:, :, None] + la[None]
         back[t] = q.argmax(1)
@@ -167,7 +175,7 @@ class Model:
         return self.vocabulary, self.tables, self.edges, self.skip
 
     def scores(self, b: Batch) -> np.ndarray:
-        s = np.zeros((b.n, K))
+        s = np.zeros((b.n, K), self.tables["c0"].dtype)
         for k, i in b.features.items():
             s += self.tables[k][i]
         return s
@@ -188,13 +196,13 @@ class Model:
         for each link the beliefs of both ends without the other's message."""
         psi, a = self.potentials(b), self.transitions()
         i, j, kind = links
-        agree = self.agreement()[kind]
-        to_j, to_i = np.ones((len(i), K)), np.ones((len(j), K))
+        agree = self.agreement().astype(psi.dtype)[kind]
+        to_j, to_i = np.ones((len(i), K), psi.dtype), np.ones((len(j), K), psi.dtype)
         at_i = at_j = to_j
         node = psi
         for _ in range(ROUNDS):
-            m = np.ones((b.n, K))
-            for box in b.groups:
+            m = np.ones((b.n, K), node.dtype)
+            for box in b.linked:
                 got = chain(box, node, a)
                 live = box >= 0
                 m[box[live]] = got[live]
@@ -314,7 +322,10 @@ class Documents:
         return np.array(self.linked, dtype=np.int64).reshape(3, -1)
 
     def batch(self) -> Batch:
-        return Batch(self.lines, np.array(self.cls, dtype=np.int64), np.array(self.shape, dtype=np.int64), np.array(self.lex, dtype=np.int64))
+        touched = np.zeros(len(self.cls) + 1, dtype=np.int64)
+        touched[self.linked[0]] = touched[self.linked[1]] = 1
+        upto = np.concatenate([[0], np.cumsum(touched)])
+        return Batch(self.lines, [bool(upto[r.stop] > upto[r.start]) for r in self.lines], np.array(self.cls, dtype=np.int64), np.array(self.shape, dtype=np.int64), np.array(self.lex, dtype=np.int64))
 
 
 def _all_sentences(text: str) -> Iterator[tuple[int, int]]:

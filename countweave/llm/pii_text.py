@@ -45,22 +45,26 @@ ROLES = "stadtrat stadträtin gemeindepräsident gemeindepräsidentin präsident
 
 UPPER = "A-ZÀ-ÖØ-Þ"
 SMALL = "(?i:(?:" + "|".join(sorted(PARTICLES)) + r")\s+|d['’])"
+LOWER_TITLES = "|".join(sorted(TITLES))
 # Sentences are the tagger's chains: cut at line ends and after the full stop of a word of five letters.
-CUT = re.compile(r"(?<=[^\W\d_]{5}[.!?…])(?<!(?i:str)[.])\s+|\n+")
-# What any item must have: a sign of mail, digits enough for a number, a capital or street word beside
-# a short number, a form of address, or two capitals with at most particles between them.
+CUT = re.compile(r"\s(?:(?<=\n)\n*|(?<=[^\W\d_]{5}[.!?…]\s)(?<![sS][tT][rR][.]\s)\s*)")
+# What any item must have: two capitals with at most particles between them, a capital beside a short
+# number, digits enough for a number, a short number ahead of a street word ...
 ANY = re.compile(
-    rf"""
-    @|&\#64;|&\#x40;|[\[({{{{]\s?(?i:at|ät|arobase|chiocciola)\s?[\])}}}}]|\s(?i:ät|arobase|chiocciola)\s
-  | (?i:\sat\s\S+\s?[\[({{]?\s?(?:dot|punkt|point|punto))
-  | (?:\d[\s\u00a0().,/+-]{{0,3}}){{9}}|[A-Z]\s{{0,2}}\d{{7}}
-  | [{UPPER}][^\s\d]*[\s,]{{0,3}}\d{{1,3}}(?!\d)
-  | \d{{1,3}}\s?[a-z]?,?\s{{1,2}}(?i:{"|".join(sorted(STREET_START))})\b
-  | (?i:\b(?:{"|".join(sorted(TITLES))})\b)
-  | [{UPPER}](?:[^\s.;:!?]*|\.(?:-?[{UPPER}]\.)*)[\s,("'«]*{SMALL}{{0,2}}[{UPPER}]
-    """,
+    rf"""[{UPPER}\d](?:
+    (?<=\d)(?:[\s\u00a0().,/+-]{{0,3}}\d){{8}}
+  | (?<=\d)\d{{0,2}}\s?[a-z]?,?\s{{1,2}}(?i:{"|".join(sorted(STREET_START))})\b
+  | (?<=[{UPPER}])(?:\s{{0,2}}\d{{7}}|[^\s\d]*[\s,]{{0,3}}\d{{1,3}}(?!\d)|(?:[^\s.;:!?]*|\.(?:-?[{UPPER}]\.)*)[\s,("'«]*{SMALL}{{0,2}}[{UPPER}])
+    )""",
     re.VERBOSE,
 )
+# ... a sign of mail, or a small form of address ahead of a capital.
+MAIL = re.compile(rf"[\s\[({{](?:\s?(?i:at|ät|arobase|chiocciola)\s?[\])}}]|(?i:ät|arobase|chiocciola)\s|(?i:at)\s\S+\s?[\[({{]?\s?(?i:dot|punkt|point|punto)|(?:{LOWER_TITLES})\b\.?\s+{SMALL}{{0,2}}[{UPPER}])")
+
+
+def holds(s: str) -> bool:
+    return ANY.search(s) is not None or "@" in s or "&#" in s or MAIL.search(" " + s) is not None
+
 
 CLASSES = "pad nl low cap up given fam morph init title part street strword house letter code post num email phone intl ahv pass handle bar comma dot colon rule quote bracket sym url".split()
 CLS = {c: i for i, c in enumerate(CLASSES)}
@@ -188,13 +192,13 @@ def other_class(kind: str, s: str) -> str:
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Bounds of the sentences that can hold an item at all (ANY); the others have none."""
-    out, at, search = [], 0, ANY.search
+    """Bounds of the sentences that can hold an item at all; the others have none."""
+    out, at = [], 0
     for m in CUT.finditer(text):
-        if search(text, at, m.start()):
+        if holds(text[at : m.start()]):
             out.append((at, m.start()))
         at = m.end()
-    if at < len(text) and search(text, at):
+    if holds(text[at:]):
         out.append((at, len(text)))
     return out
 
