@@ -6,9 +6,9 @@ of all texts of that shape at a time (numpy arrays of code points). Wall-clock t
 zone go through a versioned zone transition table (functions.zones), times with a stated zone
 or offset are taken at their word. Canonical and foreign notations take the same way.
 
-Results: `utc` in microseconds since 1970, null where the text is null, empty, longer than
-`LONGEST` after stripping, of unknown shape or names no real time (month 13, 30 February,
-minute 75). Fractions are kept to the microsecond. Numeric dates with dots are day.month.year;
+Results: `utc` in microseconds since 1970, null where the text is null, empty, of unknown shape or names no real time (month 13,
+30 February, minute 75). Texts of any length are read; they are worked on by length, so that a long
+one makes no others wide. Fractions are kept to the microsecond. Numeric dates with dots are day.month.year;
 of all-digit texts, 9 or 10 digits are epoch seconds, 13 milli-, 16 micro-, 19 nanoseconds.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from countweave.functions.zones import HOUR, SECOND, ZoneTable, zone_table
 
-LONGEST = 64
+SHORT, CELLS = 64, 4_000_000  # texts up to SHORT share an array; code points of one array at most
 CANONICAL = "9999-99-99a99:99"
 NONE = np.iinfo(np.int64).min
 
@@ -173,17 +173,29 @@ def parse_texts(texts: pa.Array, zone: ZoneTable, parsers: dict[str, Parser | No
     n = len(texts)
     utc, canonical = np.full(n, NONE), np.zeros(n, dtype=bool)
     stripped = pc.utf8_trim_whitespace(texts)
-    fits = pc.and_(pc.greater(pc.utf8_length(stripped), 0), pc.less_equal(pc.utf8_length(stripped), LONGEST))
-    rows = np.flatnonzero(pc.fill_null(fits, False).to_numpy(zero_copy_only=False))
-    if not len(rows):
-        return utc, canonical
-    chosen = np.array(stripped.take(pa.array(rows)).to_pylist(), dtype=np.str_)
+    length = pc.fill_null(pc.utf8_length(stripped), 0).to_numpy(zero_copy_only=False)
+    trimmed = pc.fill_null(pc.not_equal(pc.utf8_length(texts), pc.utf8_length(stripped)), False).to_numpy(zero_copy_only=False)
+    width = SHORT
+    while True:
+        rows = np.flatnonzero((length > (0 if width == SHORT else width // 2)) & (length <= width))
+        for lo in range(0, len(rows), max(1, CELLS // width)):
+            some = rows[lo : lo + max(1, CELLS // width)]
+            utc[some], same = _parse(stripped.take(pa.array(some)), zone, parsers)
+            canonical[some] = same & ~trimmed[some]
+        if width >= length.max(initial=0):
+            return utc, canonical
+        width *= 2
+
+
+def _parse(texts: pa.Array, zone: ZoneTable, parsers: dict[str, Parser | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for stripped texts of about one length."""
+    utc, canonical = np.full(len(texts), NONE), np.zeros(len(texts), dtype=bool)
+    chosen = np.array(texts.to_pylist(), dtype=np.str_)
     width = chosen.dtype.itemsize // 4
-    codes = chosen.view(np.uint32).reshape(len(rows), width)
+    codes = chosen.view(np.uint32).reshape(len(texts), width)
     shapes, inverse = np.unique(np.ascontiguousarray(_shape_codes(codes)).view(f"<U{width}").ravel(), return_inverse=True)
     order = np.argsort(inverse, kind="stable")
     starts = np.searchsorted(inverse[order], np.arange(len(shapes) + 1))
-    trimmed = pc.fill_null(pc.not_equal(pc.utf8_length(texts), pc.utf8_length(stripped)), False).to_numpy(zero_copy_only=False)
     for k, shape in enumerate(map(str, shapes)):
         if shape not in parsers:
             if len(parsers) > 10_000:
@@ -192,10 +204,9 @@ def parse_texts(texts: pa.Array, zone: ZoneTable, parsers: dict[str, Parser | No
         if (p := parsers[shape]) is None:
             continue
         at = order[starts[k] : starts[k + 1]]
-        got = p(codes[at], zone)
-        utc[rows[at]] = got
+        utc[at] = p(codes[at], zone)
         if shape == CANONICAL:
-            canonical[rows[at]] = (got != NONE) & (codes[at][:, 10] == ord("T")) & ~trimmed[rows[at]]
+            canonical[at] = (utc[at] != NONE) & (codes[at][:, 10] == ord("T"))
     return utc, canonical
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from countweave.functions.zones import zone_table
 from countweave.operators import asof, gridding, intervals, quantiles, spikes, timestamps
 from countweave.sources.tables import table
 
@@ -200,9 +201,9 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_instants(spark: SparkSession, d: str) -> DataFrame:
-    """Every DATUM with its instant, or `invalid`."""
+    """Every DATUM with its instant, or `invalid`, and the zone database's version that it rests on."""
     q = timestamps.normalise_texts(table(spark, d, "quarter_counts").select("row_id", "DATUM"), "DATUM", ZONE)
-    return q.select("row_id", timestamps.utc_text("utc_us").alias("utc"), "canonical")
+    return q.select("row_id", timestamps.utc_text("utc_us").alias("utc"), "canonical", F.lit(zone_table(ZONE).version).alias("zone_version"))
 
 
 P6_PAIRS_SQL = """

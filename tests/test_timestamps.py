@@ -15,6 +15,8 @@ CASES = {
     "13. November 2021, 04.00 Uhr": "2021-11-13T03:00:00Z", "2. März 2020, 20.30 Uhr": "2020-03-02T19:30:00Z", "2016-11-01T07:30:00.778417-08:00": "2016-11-01T15:30:00Z", "2021-10-16T22:15:00.563417+09:30": "2021-10-16T12:45:00Z",
     "2021-10-31T02:30": "2021-10-31T00:30:00Z", "2021-03-28T02:30": "2021-03-28T01:00:00Z", "2020-02-29T00:00Z": "2020-02-29T00:00:00Z",
     "2021-13-04T12:30": "invalid", "2021-02-30T11:15": "invalid", "2021-05-07T07:75": "invalid", "0000-00-00T00:00": "invalid", "31.06.2020 03:00": "invalid", "2022-09-xxT13:00": "invalid", "gestern 20:15": "invalid", "----": "invalid", "n/a": "invalid", "": "invalid", "x" * 5000: "invalid", "12345": "invalid", "2021-01-01Q10:15": "invalid", "1. Foo 2020, 10.00 Uhr": "invalid",
+    "2021-07-01T10:15:00." + "7" * 300: "2021-07-01T08:15:00Z", "2021-07-01" + " " * 5000 + "10:15": "2021-07-01T08:15:00Z", "2021-07-01T10:15:00." + "7" * 70 + "x": "invalid",
+    "2107-07-01T10:15": "2107-07-01T08:15:00Z", "2107-01-01T10:15": "2107-01-01T09:15:00Z", "9999-07-01T10:15": "9999-07-01T08:15:00Z", "9999-12-31T10:15": "9999-12-31T09:15:00Z",
 }
 
 
@@ -46,3 +48,26 @@ def test_zone_tables(zone):
         assert wall == int(s) * 10**6 + off
         back = t.to_utc(np.array([wall]))[0]
         assert back == int(s) * 10**6 or utc.astimezone(z).fold == 1
+
+
+def test_rules_repeat_beyond_the_table():
+    t, z = zone_table("Europe/Zurich"), ZoneInfo("Europe/Zurich")
+    for year in (2499, 2500, 2501, 3333, 9998):
+        for month in (1, 3, 7, 10, 12):
+            wall = datetime(year, month, 15, 12)
+            us = (wall - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+            want = us - z.utcoffset(wall) // timedelta(microseconds=1)
+            assert t.to_utc(np.array([us]))[0] == want
+
+
+def test_offsets_by_look_up(spark):
+    from pyspark.sql import functions as F
+
+    t = zone_table("Europe/Zurich")
+    hours = [int(h) for h in np.random.default_rng(1).integers(-50_000, 1_400_000, 500)] + [448_874 + k for k in range(-3, 4)]
+    got = {r["h"]: r["e"] for r in spark.createDataFrame([(h,) for h in hours], "h int").select("h", t.hours_east(F.col("h")).alias("e")).collect()}
+    for h, e in got.items():
+        us = h * 3_600_000_000
+        east = us - t._to_utc(np.array([us]))[0]
+        skipped = h in set(t.skipped_hours())
+        assert skipped or e * 3_600_000_000 == (east if h >= 0 else t.offset[np.searchsorted(t.at[:-1], 0, "right")])
