@@ -66,7 +66,7 @@ class ZoneTable:
                     return self.hours_east(hour, slot // 2)
         after = np.append(before[1:], self.offset[-1] // HOUR)
         at = F.greatest(F.lit(0), F.least(F.lit(last), F.floor(hour / slot))).cast("int")
-        pick = lambda a: F.get(F.lit(a.tolist()).cast("array<int>"), at)
+        pick = lambda a: F.get(F.split(F.lit(",".join(map(str, a))), ",").cast("array<int>"), at)  # a constant
         return F.when(hour >= pick(change), pick(after)).otherwise(pick(before))
 
 

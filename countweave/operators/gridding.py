@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from countweave.functions.zones import zone_table
 
 BLOCK = 720
+NEVER = -(2**31)  # no hour
 
 
 def hour_index(ts: Column) -> Column:
@@ -76,7 +77,7 @@ def hourly_grid(readings: DataFrame, reach: int = 2, zone: str = "Europe/Zurich"
     sums = [F.sum(F.when(F.col("y").isNotNull(), power(j))).alias(f"s{j}") for j in range(5)]
     sums += [F.sum(F.col("y") * power(j)).alias(f"t{j}") for j in range(4)]
     per = both.groupBy("src", "dev", "blk", "h").agg(F.max("grid").alias("grid"), F.count("y").alias("usable"), *sums)
-    per = per.where(~F.col("h").isin(clock.skipped_hours()))
+    per = per.where(f"h NOT IN ({', '.join(map(str, [NEVER, *clock.skipped_hours()]))})")
     per = per.withColumn("t", F.col("h") - clock.hours_east(F.col("h")))  # elapsed hours
     # neighbours by position in the sorted grid, taken for what their own hour says
     w = Window.partitionBy("src", "dev", "blk").orderBy("h")
