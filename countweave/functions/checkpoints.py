@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -17,5 +19,6 @@ def cut(df: DataFrame) -> DataFrame:
             if not sc.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir is not set")
             where = tempfile.mkdtemp(prefix="countweave-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
     return df.checkpoint()

@@ -38,6 +38,7 @@ class Settings:
     junctions: int = 80
     junction_m: float = 400.0
     routes: int = 10
+    betweenness_samples: int = 400
     cutoff_s: float = 900.0
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,10 +12,13 @@ from pyspark.sql import functions as F
 from countweave.functions.checkpoints import cut
 from countweave.operators.spatial import segment_distance
 
-# Ranks of road classes and cost factors of planned-network ranks.
+# Ranks of road classes (any other class has rank 0), cost factors of planned-network
+# ranks, and which values of which way tags say that there is a facility or two-way riding.
 ROAD_RANK = {"trunk": 5, "trunk_link": 5, "primary": 4, "primary_link": 4, "secondary": 3, "secondary_link": 3, "tertiary": 2, "tertiary_link": 2, "unclassified": 1, "residential": 1, "living_street": 0, "service": 0, "cycleway": -1, "path": -1, "track": -1, "footway": -1, "pedestrian": -1, "bridleway": -1}
+OTHER_ROAD = 0
 PLANNED_FACTOR = {3: 0.8, 2: 0.9, 1: 1.0, 0: 1.2}
-LANE_TAGS = ("cycleway", "cycleway:left", "cycleway:right", "cycleway:both")
+FACILITY = {"highway": "=cycleway", "bicycle": "=designated", "cycleway": "lane", "cycleway:left": "lane", "cycleway:right": "lane", "cycleway:both": "lane"}
+TWO_WAY = {"oneway:bicycle": "=no", "cycleway": "opposite*", "cycleway:left": "opposite*", "cycleway:right": "opposite*"}
 NO_LANE = ("", "no", "none", "nan", "separate", "shared_lane")
 
 
@@ -23,21 +28,17 @@ def lookup(c: Column, table: dict, default) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), c), F.lit(default))
 
 
-def has_facility(tags: Column) -> Column:
-    """tags: map of way tags. A cycleway, designated for bicycles, or with any lane tag in use."""
-    tag = lambda k: F.coalesce(F.try_element_at(tags, F.lit(k)), F.lit(""))
-    out = (tag("highway") == "cycleway") | (tag("bicycle") == "designated")
-    for k in LANE_TAGS:
-        out = out | ~tag(k).isin(*NO_LANE)
-    return out
+def tagged(tags: Column, rules: dict[str, str]) -> Column:
+    """Any rule of a tag table holds for a map of way tags: `=x` the value is x, `x*` it begins with x,
+    `lane` it names a lane in use. A missing tag is an empty value."""
 
+    def holds(key: str, rule: str) -> Column:
+        value = F.coalesce(F.try_element_at(tags, F.lit(key)), F.lit(""))
+        if rule == "lane":
+            return ~value.isin(*NO_LANE)
+        return value == rule[1:] if rule[0] == "=" else value.startswith(rule[:-1])
 
-def contraflow(tags: Column) -> Column:
-    tag = lambda k: F.coalesce(F.try_element_at(tags, F.lit(k)), F.lit(""))
-    out = tag("oneway:bicycle") == "no"
-    for k in LANE_TAGS[:3]:
-        out = out | tag(k).startswith("opposite")
-    return out
+    return reduce(or_, (holds(*r) for r in rules.items()))
 
 
 def min_parallel(edges: DataFrame) -> DataFrame:
@@ -70,48 +71,115 @@ def bypassed(edges: DataFrame, removed: Sequence) -> DataFrame:
     return e
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float, most: int = 200) -> DataFrame:
-    """source, node, cost, prev: cheapest directed ways up to the cutoff, by rounds of relaxation
-    from the nodes that improved last; ties take the smaller predecessor. Lineage is cut each round."""
+def _relaxed(edges: DataFrame, best: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
+    """best (keys, cost, via) relaxed over edges to its fixed point: rounds from what improved last,
+    lineage cut each round. A new entry takes the keys of the one it came from, but for `node`. The
+    least (cost, via) wins. Costs must not be negative, so no way has more edges than there are nodes."""
     e = cut(min_parallel(edges))
-    best = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"), F.col("node").alias("prev"))
+    if e.where("cost < 0").head(1):
+        raise ValueError("negative cost")
+    rest = [k for k in keys if k != "node"]
     front = best = cut(best)
-    for _ in range(most):
-        step = front.join(e.withColumnRenamed("cost", "c"), front["node"] == e["u"]).select("source", F.col("v").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), F.col("u").alias("prev")).where(F.col("cost") <= cutoff)
-        step = step.groupBy("source", "node").agg(F.min(F.struct("cost", "prev")).alias("m")).select("source", "node", F.col("m.cost").alias("cost"), F.col("m.prev").alias("prev"))
-        old = best.select("source", "node", F.col("cost").alias("was"), F.col("prev").alias("was_prev"))
-        j = cut(old.join(step, ["source", "node"], "full").withColumn("better", F.coalesce(F.col("cost") < F.col("was"), F.col("was").isNull())))
-        best = j.select("source", "node", F.when(F.col("better"), F.col("cost")).otherwise(F.col("was")).alias("cost"), F.when(F.col("better"), F.col("prev")).otherwise(F.col("was_prev")).alias("prev"))
-        front = j.where("better").select("source", "node", "cost", "prev")
+    e = e.withColumnRenamed("cost", "c")
+    while True:
+        step = front.join(e, front["node"] == e["u"]).select(*rest, F.col("v").alias("node"), (F.col("cost") + F.col("c")).alias("cost"), _via(front, e).alias("via")).where(F.col("cost") <= cutoff)
+        step = step.groupBy(*keys).agg(F.min(F.struct("cost", "via")).alias("m")).select(*keys, F.col("m.cost").alias("cost"), F.col("m.via").alias("via"))
+        old = best.select(*keys, F.col("cost").alias("was"), F.col("via").alias("was_via"))
+        j = cut(old.join(step, keys, "full").withColumn("better", F.coalesce(F.col("cost") < F.col("was"), F.col("was").isNull())))
+        best = j.select(*keys, *[F.when(F.col("better"), F.col(c)).otherwise(F.col(w)).alias(c) for c, w in (("cost", "was"), ("via", "was_via"))])
+        front = j.where("better").select(*keys, "cost", "via")
         if not front.head(1):
-            break
-    return best
+            return best
+
+
+def _via(front: DataFrame, e: DataFrame) -> Column:
+    """What is carried along: the predecessor where entries have a source of their own, else the source."""
+    return e["u"] if "source" in front.columns else front["via"]
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:
+    """source, node, cost, prev: cheapest directed ways up to the cutoff, of any number of edges; ties
+    take the smaller predecessor."""
+    first = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"), F.col("node").alias("via"))
+    return _relaxed(edges, first, ["source", "node"], cutoff).withColumnRenamed("via", "prev")
+
+
+def nearest_source(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """node, cost, source: each node's nearest source by directed ways (ties: the smaller), one label a
+    node; nodes that no source reaches have no row."""
+    first = sources.select("node", F.lit(0.0).alias("cost"), F.col("node").alias("via"))
+    return _relaxed(edges, first, ["node"], float("inf")).withColumnRenamed("via", "source")
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """Both directions of every edge at its cheaper cost."""
+    return min_parallel(edges.select("u", "v", "cost").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost")))
 
 
 def voronoi_adjacency(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:
     """Retained nodes whose cells (undirected nearest source) touch, with the directed cost, up to
     the cutoff."""
-    und = min_parallel(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost")))
-    d = shortest_paths(und, sources, float("inf"))
-    cell = d.groupBy("node").agg(F.min(F.struct("cost", "source")).alias("m")).select("node", F.col("m.source").alias("cell"))
+    cell = nearest_source(undirected(edges), sources).select("node", F.col("source").alias("cell"))
     e = edges.join(cell.select(F.col("node").alias("u"), F.col("cell").alias("cu")), "u").join(cell.select(F.col("node").alias("v"), F.col("cell").alias("cv")), "v").where("cu <> cv")
     pair = e.select(F.col("cu").alias("src"), F.col("cv").alias("dst")).unionByName(e.select(F.col("cv").alias("src"), F.col("cu").alias("dst"))).distinct()
     t = shortest_paths(edges, sources, cutoff).select(F.col("source").alias("src"), F.col("node").alias("dst"), "cost")
     return pair.join(t, ["src", "dst"])
 
 
-def path_edges(paths: DataFrame, wanted: DataFrame, most: int = 200) -> DataFrame:
-    """source, node, u, v: the edges on the ways to the wanted (source, node), back along prev."""
+def path_edges(paths: DataFrame, wanted: DataFrame) -> DataFrame:
+    """source, node, u, v: the edges on the ways to the wanted (source, node), back along prev to the
+    source."""
     at = cut(wanted.select("source", "node", F.col("node").alias("v")))
     prev = paths.select("source", F.col("node").alias("v"), F.col("prev").alias("u")).where("u <> v")
     out = None
-    for _ in range(most):
+    while True:
         step = cut(at.join(prev, ["source", "v"]).select("source", "node", "u", "v"))
         if not step.head(1):
-            break
+            return out if out is not None else step
         out = step if out is None else out.unionByName(step)
         at = step.select("source", "node", F.col("u").alias("v"))
-    return out if out is not None else at.select("source", "node", F.col("v").alias("u"), "v").limit(0)
+
+
+def _swept(dag: DataFrame, start: DataFrame, a: str, b: str, add: Column) -> DataFrame:
+    """Values of the nodes of directed acyclic graphs (source, u, v, one per source), each from all of its
+    neighbours ahead of it: x(b) = start(b) + sum over its edges of `add` (of x, the value at a).
+    start: source, node, x, nodes without edges ahead included. Nodes are done when all ahead are."""
+    need = dag.groupBy("source", F.col(b).alias("node")).agg(F.count("*").alias("need"))
+    state = cut(start.join(need, ["source", "node"], "left").fillna(0, ["need"]))
+    front, done = state.where("need = 0").select("source", "node", "x"), None
+    while front.head(1):
+        done = front if done is None else done.unionByName(front)
+        more = dag.join(front.withColumnRenamed("node", a), ["source", a]).groupBy("source", F.col(b).alias("node")).agg(F.sum(add).alias("dx"), F.count("*").alias("got"))
+        state = cut(state.where("need > 0").join(more, ["source", "node"], "left").select("source", "node", (F.col("x") + F.coalesce("dx", F.lit(0.0))).alias("x"), (F.col("need") - F.coalesce("got", F.lit(0))).alias("need")))
+        front = state.where("need = 0").select("source", "node", "x")
+    return done if done is not None else state.select("source", "node", "x").limit(0)
+
+
+def edge_betweenness(edges: DataFrame, samples: int, seed: int = 0) -> DataFrame:
+    """u, v (u < v), betweenness of undirected edges by cost: the share of cheapest ways over an edge,
+    from `samples` nodes drawn by a seeded hash (all of them where there are no more), scaled to all
+    pairs. Equally cheap ways share. Accumulation after Brandes (2001), all samples side by side;
+    rounds follow the number of edges on the longest way. Costs must be above 0."""
+    e = cut(undirected(edges.where("u <> v")))
+    nodes = e.select(F.col("u").alias("node")).distinct()
+    drawn = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(samples)
+    d = cut(shortest_paths(e, drawn, float("inf")).select("source", "node", "cost"))
+    far = d.select("source", F.col("node").alias("v"), F.col("cost").alias("dv"))
+    dag = d.withColumnRenamed("node", "u").join(e.withColumnRenamed("cost", "c"), "u").join(far, ["source", "v"])
+    dag = cut(dag.where(F.abs(F.col("cost") + F.col("c") - F.col("dv")) <= 1e-9 * F.greatest(F.lit(1.0), F.col("dv"))).where("dv > cost").select("source", "u", "v"))
+    start = d.select("source", "node", (F.col("node") == F.col("source")).cast("double").alias("x"))
+    sigma = cut(_swept(dag, start, "u", "v", F.col("x")).withColumnRenamed("x", "ways"))
+    share = dag.join(sigma.select("source", F.col("node").alias("u"), F.col("ways").alias("su")), ["source", "u"]).join(sigma.select("source", F.col("node").alias("v"), F.col("ways").alias("sv")), ["source", "v"])
+    share = cut(share.select("source", "u", "v", (F.col("su") / F.col("sv")).alias("share")))
+    # delta(u) = sum over successors of share * (1 + delta(v)): from the far ends back
+    delta = _swept(share, d.select("source", "node", F.lit(0.0).alias("x")), "v", "u", F.col("share") * (1 + F.col("x")))
+    on = share.join(delta.withColumnRenamed("node", "v"), ["source", "v"]).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), (F.col("share") * (1 + F.col("x"))).alias("x"))
+    sums = on.groupBy("a", "b").agg(F.sum("x").alias("x"))
+    every = e.where("u < v").select(F.col("u").alias("a"), F.col("v").alias("b")).join(sums, ["a", "b"], "left")
+    n = nodes.agg(F.count("*").cast("double").alias("n"), F.lit(1).alias("__j"))
+    k = F.least(F.lit(float(samples)), F.col("n"))
+    x = every.withColumn("__j", F.lit(1)).join(F.broadcast(n), "__j")  # one row
+    return x.select(F.col("a").alias("u"), F.col("b").alias("v"), (F.coalesce("x", F.lit(0.0)) / (F.col("n") - 1) / k).alias("betweenness"))
 
 
 def route_shares(on_path: DataFrame, edges: DataFrame, flags: Sequence[str]) -> DataFrame:
@@ -139,16 +207,29 @@ def conflated(edges: DataFrame, planned: DataFrame, sample: float = 10.0, match:
     return g.select("edge_id", rank.alias("rank"), lookup(rank, PLANNED_FACTOR, 1.0).alias("factor"))
 
 
+def lengths_by_class(on_path: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
+    """source, node, the class and its kilometres along every route."""
+    return on_path.join(edges, ["u", "v"]).groupBy("source", "node", kind).agg((F.sum("length") / 1000).alias("km"))
+
+
 def spaced(candidates: DataFrame, apart: float, most: int, pool: int = 5000) -> list[tuple]:
-    """Greedy choice of at most `most` candidates (id, x, y, score), best first, each `apart` from
-    those chosen. Sequential by nature: the `pool` best come to the driver."""
-    w = candidates.orderBy(F.desc("score"), "id").limit(pool).collect()
+    """Greedy choice of at most `most` candidates (id, x, y, score), best first (ties: smaller id), each
+    at least `apart` from those chosen. Sequential by nature, so `pool` candidates come to the driver
+    at a time: the best of those that are far enough from all chosen so far, until none is left. A
+    round chooses one at least. Candidates without a score or place do not count."""
+    ok = candidates.where("x IS NOT NULL AND y IS NOT NULL AND score IS NOT NULL")
     out: list[tuple] = []
-    for r in w:
-        if all((r["x"] - x) ** 2 + (r["y"] - y) ** 2 >= apart * apart for _, x, y in out):
-            out.append((r["id"], r["x"], r["y"]))
-            if len(out) == most:
-                break
+    while len(out) < most:
+        clear = [(F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y) >= apart * apart for _, x, y in out]
+        w = (ok.where(reduce(and_, clear)) if clear else ok).orderBy(F.desc("score"), "id").limit(pool).collect()
+        if not w:
+            break
+        chosen = {r[0] for r in out}
+        for r in w:
+            if len(out) < most and r["id"] not in chosen and all((r["x"] - x) ** 2 + (r["y"] - y) ** 2 >= apart * apart for _, x, y in out):
+                out.append((r["id"], r["x"], r["y"]))
+        if len(out) == len(chosen):
+            break
     return out
 
 

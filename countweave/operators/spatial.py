@@ -37,6 +37,38 @@ def nearest(a: DataFrame, b: DataFrame, r: float) -> DataFrame:
     return a.select(F.col("id").alias("a_id")).join(n, "a_id", "left").select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.dist").alias("dist"))
 
 
+def nearest_any(a: DataFrame, b: DataFrame, start: float) -> DataFrame:
+    """Every a_id with its nearest b_id however far (ties: smaller id), null only where b is empty.
+
+    The radius doubles from `start` for the points that have found none yet, so dense regions meet in
+    small cells; when a radius covers the extent of all points, every point has found one. Points
+    without coordinates are not matched."""
+    pts = lambda d: d.where("x IS NOT NULL AND y IS NOT NULL")
+    both = pts(a).select("x", "y").unionByName(pts(b).select("x", "y"))
+    box = both.agg(*[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()
+    span = max(box[1] - box[0], box[3] - box[2]) * 1.5 if box[0] is not None else 0.0
+    left, found, r = cut(pts(a).select("id", "x", "y")), None, start
+    while left.head(1):
+        n = cut(within(left, pts(b), r).groupBy("a_id").agg(F.min(F.struct("dist", "b_id")).alias("m")))
+        found = n if found is None else found.unionByName(n)
+        if r > span:
+            break
+        left = cut(left.join(n.select(F.col("a_id").alias("id")), "id", "left_anti"))
+        r *= 2
+    ids = a.select(F.col("id").alias("a_id"))
+    if found is None:
+        return ids.select("a_id", F.lit(None).cast(b.schema["id"].dataType).alias("b_id"), F.lit(None).cast("double").alias("dist"))
+    return ids.join(found, "a_id", "left").select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.dist").alias("dist"))
+
+
+def candidate_pairs(t: DataFrame, k: int) -> DataFrame:
+    """src < dst, cost: unordered pairs in which one is among the other's k cheapest (by the symmetric
+    cost t: src, dst, cost). Ties go by dst. Nulls and self pairs do not count."""
+    w = Window.partitionBy("src").orderBy("cost", "dst")
+    top = t.where("src <> dst AND cost IS NOT NULL").withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
+    return top.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.min("cost").alias("cost"))
+
+
 def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     dx, dy = x2 - x1, y2 - y1
     l2 = dx * dx + dy * dy
@@ -65,7 +97,7 @@ def knn_edges(t: DataFrame, k: int, tau: float) -> DataFrame:
     return e.select("src", "dst", (F.col("cost") / 60).alias("minutes"), F.exp(-F.col("cost") / tau).alias("weight"))
 
 
-def components(nodes: DataFrame, pairs: DataFrame, most: int = 64) -> DataFrame:
+def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, root: the smallest id of each node's connected component.
 
     Rounds of taking the least root among neighbours, then jumping to the root's root; the number
@@ -74,15 +106,14 @@ def components(nodes: DataFrame, pairs: DataFrame, most: int = 64) -> DataFrame:
     e = pairs.select(F.col("a_id").alias("s"), F.col("b_id").alias("d"))
     e = cut(e.unionByName(e.select(F.col("d").alias("s"), F.col("s").alias("d"))).where("s <> d").distinct())
     lab = cut(nodes.select("id", F.col("id").alias("root")))
-    for _ in range(most):
+    while True:
         near = e.join(lab.withColumnRenamed("id", "d"), "d").groupBy(F.col("s").alias("id")).agg(F.min("root").alias("n"))
         new = lab.join(near, "id", "left").select("id", F.col("root").alias("old"), F.least("root", F.coalesce("n", "root")).alias("root"))
         up = new.select(F.col("id").alias("root"), F.col("root").alias("up"))
         new = cut(new.join(up, "root").select("id", "old", F.least("root", "up").alias("root")))
         lab = new.select("id", "root")
         if not new.where("old <> root").head(1):
-            break
-    return lab
+            return lab
 
 
 def cluster_labels(points: DataFrame, r: float, distinct_only: bool = True) -> DataFrame:
@@ -123,7 +154,7 @@ def hull(points: DataFrame) -> DataFrame:
             yield pd.DataFrame({"i": np.arange(len(got)), "x": got[:, 0], "y": got[:, 1]})
 
     schema = "i long, x double, y double"
-    return points.select("x", "y").mapInPandas(part, schema).coalesce(1).mapInPandas(part, schema)
+    return points.select("x", "y").mapInPandas(part, schema).repartition(1).mapInPandas(part, schema)  # corners alone meet
 
 
 def near_hull(points: DataFrame, corners: DataFrame, r: float) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from countweave.functions.settings import DEFAULT
 from countweave.operators import network, spatial
 from countweave.plans.registry import Registry
 from countweave.sources.tables import table
@@ -87,19 +88,46 @@ def cluster_components(spark: SparkSession, d: str) -> DataFrame:
 
 def near_area(spark: SparkSession, d: str) -> DataFrame:
     """Points within 500 m of the convex hull of the sites."""
-    core = sites(spark, d).where("x BETWEEN 2678000 AND 2688000 AND y BETWEEN 1243000 AND 1252000")
-    return spatial.near_hull(customers_at(spark, d), spatial.hull(core), 500.0).withColumn("dist", F.round("dist", 3))
+    return spatial.near_hull(customers_at(spark, d), spatial.hull(sites(spark, d)), 500.0).withColumn("dist", F.round("dist", 3))
 
 
 R()(near_area)
 
 
+@R(f"WITH {SITES}, {PTS}, j AS (SELECT p.id AS a_id, s.id AS b_id, sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2) AS dist, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2), s.id) AS k FROM p, s) SELECT a_id, b_id, round(dist, 4) AS dist FROM j WHERE k = 1")
+def nearest_site_any(spark: SparkSession, d: str) -> DataFrame:
+    """J18 without a largest distance."""
+    return spatial.nearest_any(customers_at(spark, d), sites(spark, d), 500.0).withColumn("dist", F.round("dist", 4))
+
+
+@R(f"WITH {SITES}, {PTS} SELECT p.id AS a_id, w.b_id, round(w.dist, 4) AS dist FROM p LEFT JOIN (SELECT p.id AS a_id, s.id AS b_id, sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2) AS dist FROM p JOIN s ON abs(p.x - s.x) <= 400 AND sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2) <= 400) w ON w.a_id = p.id")
+def within_distance_left(spark: SparkSession, d: str) -> DataFrame:
+    """J17 as a left join: points without a site nearby stay, with nulls."""
+    p = customers_at(spark, d)
+    w = spatial.within(p, sites(spark, d), 400.0)
+    return p.select(F.col("id").alias("a_id")).join(w, "a_id", "left").withColumn("dist", F.round("dist", 4))
+
+
+@R(f"WITH {TIMES}, k AS (SELECT src, dst, cost, row_number() OVER (PARTITION BY src ORDER BY cost, dst) AS k FROM t) SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(min(cost), 5) AS cost FROM k WHERE k <= 10 GROUP BY 1, 2")
+def route_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Unordered pairs of each site and its ten nearest."""
+    return spatial.candidate_pairs(times(spark, d), 10).withColumn("cost", F.round("cost", 5))
+
+
 def order_edges(spark: SparkSession, d: str) -> DataFrame:
-    """A directed network with parallel edges, from lineitem: part group to supplier group."""
-    return table(spark, d, "lineitem").select((F.col("l_partkey") % 40).alias("u"), (F.col("l_suppkey") % 40).alias("v"), F.col("l_extendedprice").alias("cost")).where("u <> v AND cost < 3000")
+    """A directed network with parallel edges, from all of lineitem: from each part to the next of its
+    order, at the line's price."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("u"), F.lead("l_partkey").over(w).alias("v"), F.col("l_extendedprice").alias("cost")).where("v IS NOT NULL AND u <> v")
+
 
+def depots(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of ways: the nodes numbered as suppliers are."""
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
 
-OE = "e AS (SELECT l_partkey % 40 AS u, l_suppkey % 40 AS v, l_extendedprice AS cost FROM lineitem WHERE l_partkey % 40 <> l_suppkey % 40 AND l_extendedprice < 3000), me AS (SELECT u, v, min(cost) AS cost FROM e GROUP BY 1, 2)"
+
+REACH = 6000.0
+OE = "e AS (SELECT * FROM (SELECT l_partkey AS u, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS v, l_extendedprice AS cost FROM lineitem) WHERE v IS NOT NULL AND u <> v), me AS (SELECT u, v, min(cost) AS cost FROM e GROUP BY 1, 2)"
 
 
 @R(f"WITH {OE} SELECT u, v, cost FROM me")
@@ -108,10 +136,10 @@ def min_parallel_edge(spark: SparkSession, d: str) -> DataFrame:
     return network.min_parallel(order_edges(spark, d))
 
 
-@R(f"WITH {OE} SELECT u, v, cost FROM me UNION ALL SELECT a.v, a.u, a.cost FROM me a ANTI JOIN me b ON b.u = a.v AND b.v = a.u WHERE a.u % 3 = 0")
+@R(f"WITH {OE} SELECT u, v, cost FROM me UNION ALL SELECT a.v, a.u, a.cost FROM me a ANTI JOIN me b ON b.u = a.v AND b.v = a.u WHERE a.u < a.v")
 def contraflow_edges(spark: SparkSession, d: str) -> DataFrame:
     """Reverse edges where allowed and absent."""
-    return network.add_contraflow(network.min_parallel(order_edges(spark, d)), "u % 3 = 0")
+    return network.add_contraflow(network.min_parallel(order_edges(spark, d)), "u < v")
 
 
 @R(f"WITH {OE} SELECT coalesce(a.u, b.v) AS src, coalesce(a.v, b.u) AS dst, (coalesce(a.cost, b.cost) + coalesce(b.cost, a.cost)) / 2 AS cost FROM me a FULL JOIN me b ON b.u = a.v AND b.v = a.u")
@@ -135,46 +163,90 @@ def node_bypass(spark: SparkSession, d: str) -> DataFrame:
     return network.bypassed(order_edges(spark, d), [3, 7]).withColumn("cost", F.round("cost", 4))
 
 
-@R(f"""WITH RECURSIVE {OE}, p AS (SELECT u AS source, u AS node, 0.0::DOUBLE AS cost, 0 AS n FROM (SELECT DISTINCT u FROM me WHERE u IN (1, 2)) UNION ALL SELECT source, v, min(p.cost + me.cost), any_value(n + 1) FROM p JOIN me ON me.u = p.node WHERE p.cost + me.cost <= 4000 AND n < 6 GROUP BY source, v, n)
-SELECT source, node, round(min(cost), 4) AS cost FROM p GROUP BY 1, 2""")
+_WAYS = f"""WITH RECURSIVE {OE}, p AS (SELECT s_suppkey AS source, s_suppkey AS node, 0.0::DOUBLE AS cost, 0 AS n FROM supplier UNION ALL SELECT source, v, min(p.cost + me.cost), any_value(n + 1) FROM p JOIN me ON me.u = p.node WHERE p.cost + me.cost <= {REACH} AND n < 40 GROUP BY source, v, n)"""
+
+
+@R(f"{_WAYS} SELECT source, node, round(min(cost), 4) AS cost FROM p GROUP BY 1, 2")
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     """Directed multi-source shortest paths up to a cutoff."""
-    src = order_edges(spark, d).select(F.col("u").alias("node")).where("node IN (1, 2)").distinct()
-    return network.shortest_paths(order_edges(spark, d), src, 4000.0).select("source", "node", F.round("cost", 4).alias("cost"))
+    return network.shortest_paths(order_edges(spark, d), depots(spark, d), REACH).select("source", "node", F.round("cost", 4).alias("cost"))
 
 
 def voronoi_adjacency(spark: SparkSession, d: str) -> DataFrame:
     """Retained nodes whose cells touch."""
-    src = order_edges(spark, d).select(F.col("u").alias("node")).where("node % 10 = 0").distinct()
-    return network.voronoi_adjacency(order_edges(spark, d), src, 9000.0).withColumn("cost", F.round("cost", 4))
+    return network.voronoi_adjacency(order_edges(spark, d), depots(spark, d), REACH).withColumn("cost", F.round("cost", 4))
 
 
 R()(voronoi_adjacency)
 
 
+def nearest_depot(spark: SparkSession, d: str) -> DataFrame:
+    """Each node's cell, by undirected ways."""
+    return network.nearest_source(network.undirected(order_edges(spark, d)), depots(spark, d)).select("node", F.round("cost", 4).alias("cost"), "source")
+
+
+R()(nearest_depot)
+
+
+def _routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = network.min_parallel(order_edges(spark, d)).withColumn("length", F.col("cost"))
+    t = network.shortest_paths(e, depots(spark, d), REACH)
+    on = network.path_edges(t, t.select("source", "node").where("source <> node"))
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("v"), (F.col("p_size") <= 25).alias("small"), F.substring("p_brand", 1, 7).alias("kind"))
+    return on, e.join(part, "v").select("u", "v", "length", "small", "kind")
+
+
 def route_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Edges along routes and length-weighted shares."""
-    e = order_edges(spark, d)
-    src = e.select(F.col("u").alias("node")).where("node IN (1, 2)").distinct()
-    t = network.shortest_paths(e, src, 4000.0)
-    on = network.path_edges(t, t.select("source", "node").where("source <> node"))
-    attr = network.min_parallel(e).select("u", "v", F.col("cost").alias("length"), (F.col("v") % 2 == 0).alias("even"))
-    return network.route_shares(on, attr, ["even"]).select("source", "node", F.round("length", 4).alias("length"), F.round("even_share", 6).alias("even_share"))
+    return network.route_shares(*_routes(spark, d), ["small"]).select("source", "node", F.round("length", 4).alias("length"), F.round("small_share", 6).alias("small_share"))
 
 
 R()(route_rollup)
 
 
+def route_km_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """Kilometres of each class along every route."""
+    return network.lengths_by_class(*_routes(spark, d), "kind").withColumn("km", F.round("km", 6))
+
+
+R()(route_km_by_kind)
+
+
+def edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    """Sampled betweenness of the site network's edges."""
+    e = links(spark, d).select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("minutes").alias("cost"))
+    return network.edge_betweenness(e, DEFAULT.betweenness_samples, DEFAULT.seed).withColumn("betweenness", F.round("betweenness", 8))
+
+
+R()(edge_betweenness)
+
+
+def planned_match(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The edges, and planned lines beside some of them: ranks by the length of the way."""
+    e = links(spark, d).where("src < dst").select("edge_id", "x1", "y1", "x2", "y2", "minutes")
+    rank = F.when(F.col("minutes") < 2, 3).when(F.col("minutes") < 3, 1)
+    planned = e.select(rank.alias("rank"), F.col("x1") + 5, F.col("y1") + 5, F.col("x2") + 5, F.col("y2") + 5).toDF("rank", "x1", "y1", "x2", "y2").where("rank IS NOT NULL")
+    return e.drop("minutes"), planned
+
+
 def conflation(spark: SparkSession, d: str) -> DataFrame:
     """Edges matched to planned lines by sampled points."""
-    e = links(spark, d).where("src < dst").select("edge_id", "x1", "y1", "x2", "y2")
-    planned = e.select((F.pmod(F.xxhash64("edge_id"), F.lit(3)) + 1).cast("int").alias("rank"), F.col("x1") + 5, F.col("y1") + 5, F.col("x2") + 5, F.col("y2") + 5).toDF("rank", "x1", "y1", "x2", "y2").where("rank <> 2")
-    return network.conflated(e, planned).withColumn("factor", F.round("factor", 2))
+    return network.conflated(*planned_match(spark, d)).withColumn("factor", F.round("factor", 2))
 
 
 R()(conflation)
 
 
+def planned_km(spark: SparkSession, d: str) -> DataFrame:
+    """Kilometres of the network by planned rank."""
+    e, planned = planned_match(spark, d)
+    length = e.select("edge_id", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("m"))
+    return network.conflated(e, planned).join(length, "edge_id").groupBy("rank").agg(F.round(F.sum("m") / 1000, 4).alias("km"))
+
+
+R()(planned_km)
+
+
 @R(f"WITH {LINKS}, g AS (SELECT s.id, l.cost, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS len FROM s JOIN (SELECT * FROM ln WHERE src < dst) l ON sqrt(((x1 + x2) / 2 - s.x) ** 2 + ((y1 + y2) / 2 - s.y) ** 2) <= 1000) SELECT id, round(sum(len) / 1000, 4) AS km, round(sum(CASE WHEN cost < 200 THEN len ELSE 0.0 END) / sum(len), 5) AS share FROM g GROUP BY 1")
 def radius_shares(spark: SparkSession, d: str) -> DataFrame:
     """Kilometres of edges near a node and the share with a property."""
@@ -190,3 +262,17 @@ def spaced_sites(spark: SparkSession, d: str) -> DataFrame:
 
 
 R()(spaced_sites)
+
+
+def spaced_junctions(spark: SparkSession, d: str) -> DataFrame:
+    """W11 as a choice of junctions: within 1 000 m of the sites' hull, at least 150 m from any site and
+    400 m from each other, best first; a top-k report."""
+    p, s = customers_at(spark, d), sites(spark, d)
+    inside = spatial.near_hull(p, spatial.hull(s), 1000.0).select("id")
+    taken = spatial.within(p, s, DEFAULT.holdout_m).where(F.col("dist") < DEFAULT.holdout_m).select(F.col("a_id").alias("id"))
+    score = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
+    c = p.join(inside, "id", "left_semi").join(taken, "id", "left_anti").join(score, "id")
+    return spark.createDataFrame(network.spaced(c, DEFAULT.junction_m, DEFAULT.junctions), "id long, x double, y double")
+
+
+R()(spaced_junctions)

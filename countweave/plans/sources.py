@@ -51,14 +51,32 @@ def dictionary_mapping(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", network.lookup(F.col("o_orderpriority"), {"1-URGENT": 5, "2-HIGH": 4}, -9).alias("rank"))
 
 
-def facility_flags(spark: SparkSession, d: str) -> DataFrame:
-    """P10: facility, contraflow and road rank of tagged ways."""
-    ways = [(1, {"highway": "cycleway"}), (2, {"highway": "primary", "cycleway:left": "lane"}), (3, {"highway": "residential", "cycleway": "no", "oneway:bicycle": "no"}), (4, {"highway": "motorway"}), (5, {"highway": "tertiary", "cycleway:right": "opposite_lane"})]
-    x = spark.createDataFrame(ways, "way int, tags map<string,string>")
-    return x.select("way", network.has_facility(F.col("tags")).alias("facility"), network.contraflow(F.col("tags")).alias("contraflow"), network.lookup(F.col("tags")["highway"], network.ROAD_RANK, 1).alias("rank"))
+# Ways of all classes and lane tags, told from the parts: what a way table would hold.
+_CLASS = ["motorway", *network.ROAD_RANK]
+_TAGS = [("cycleway", "lane"), ("cycleway:left", "no"), ("cycleway:right", "opposite_lane"), ("cycleway:both", "separate"), ("bicycle", "designated"), ("oneway:bicycle", "no"), ("surface", "asphalt")]
+
+
+def ways(spark: SparkSession, d: str) -> DataFrame:
+    """way, tags: a class by the part's key and one more tag by its size."""
+    k, z = F.pmod("p_partkey", F.lit(len(_CLASS))), F.pmod("p_size", F.lit(len(_TAGS)))
+    at = lambda xs, i: F.get(F.array(*map(F.lit, xs)), i.cast("int"))
+    tags = F.map_from_arrays(F.array(F.lit("highway"), at([t for t, _ in _TAGS], z)), F.array(at(_CLASS, k), at([v for _, v in _TAGS], z)))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("way"), tags.alias("tags"))
 
 
-R("SELECT * FROM (VALUES (1, true, false, -1), (2, true, false, 4), (3, false, true, 1), (4, false, false, 1), (5, true, true, 2)) AS t(way, facility, contraflow, rank)")(facility_flags)
+_RANKS = ", ".join(f"({k}, '{c}')" for k, c in enumerate(_CLASS))
+_KINDS = ", ".join(f"({k}, '{t}', '{v}')" for k, (t, v) in enumerate(_TAGS))
+
+
+@R(f"""WITH w AS (SELECT p_partkey AS way, c.name, t.tag, t.val FROM part JOIN (VALUES {_RANKS}) c(k, name) ON c.k = p_partkey % {len(_CLASS)} JOIN (VALUES {_KINDS}) t(k, tag, val) ON t.k = p_size % {len(_TAGS)})
+SELECT way, name = 'cycleway' OR (tag = 'bicycle' AND val = 'designated') OR (tag LIKE 'cycleway%' AND val NOT IN ('', 'no', 'none', 'nan', 'separate', 'shared_lane')) AS facility,
+  (tag = 'oneway:bicycle' AND val = 'no') OR (tag IN ('cycleway', 'cycleway:left', 'cycleway:right') AND val LIKE 'opposite%') AS contraflow,
+  CASE WHEN name LIKE 'trunk%' THEN 5 WHEN name LIKE 'primary%' THEN 4 WHEN name LIKE 'secondary%' THEN 3 WHEN name LIKE 'tertiary%' THEN 2 WHEN name IN ('unclassified', 'residential') THEN 1 WHEN name IN ('motorway', 'living_street', 'service') THEN 0 ELSE -1 END AS rank FROM w""")
+def facility_flags(spark: SparkSession, d: str) -> DataFrame:
+    """P10: facility, contraflow and road rank of tagged ways."""
+    tags = F.col("tags")
+    rank = network.lookup(tags["highway"], network.ROAD_RANK, network.OTHER_ROAD)
+    return ways(spark, d).select("way", network.tagged(tags, network.FACILITY).alias("facility"), network.tagged(tags, network.TWO_WAY).alias("contraflow"), rank.alias("rank"))
 
 
 @R(f"WITH {index._VAR_SQL} SELECT 'index.' || CAST(year AS VARCHAR) AS key, '×' || printf('%.2f', median_of_site_means_raw / 100) AS value FROM ix")
