@@ -52,10 +52,11 @@ def day_of_year_waves(ts: Column) -> tuple[Column, Column]:
 
 
 def solar_elevation(ts_utc: Column, lat: float = LAT, lon: float = LON) -> Column:
-    """Degrees above the horizon at the middle of the hour that starts at ts_utc: declination by
-    the cosine approximation, hour angle from UTC and longitude."""
-    decl = F.radians(-23.44 * F.cos(2 * pi * (F.dayofyear(ts_utc) + 10) / 365.25))
-    angle = F.radians((F.hour(ts_utc) + F.minute(ts_utc) / 60 + 0.5 - 12) * 15 + lon)
+    """Degrees above the horizon half an hour after ts_utc, the middle of the hour that starts then:
+    Cooper's declination, hour angle from UTC and longitude."""
+    t = ts_utc + F.expr("INTERVAL 30 MINUTES")
+    decl = F.radians(F.lit(23.44)) * F.sin(2 * pi * (F.dayofyear(t) + 284) / 365)
+    angle = F.radians((F.hour(t) + F.minute(t) / 60 - 12) * 15 + lon)
     la = F.radians(F.lit(lat))
     return F.degrees(F.asin(F.sin(la) * F.sin(decl) + F.cos(la) * F.cos(decl) * F.cos(angle)))
 
@@ -87,6 +88,27 @@ def public_holidays(year: int) -> list[date]:
     return [date(year, m, x) for m, x in ((1, 1), (1, 2), (5, 1), (8, 1), (12, 25), (12, 26))] + [e + timedelta(days=k) for k in (-2, 1, 39, 50)]
 
 
+def holiday_table(spark: SparkSession, first: int = 1990, last: int = 2060) -> DataFrame:
+    """day: the days off of some years, ten a year."""
+    return spark.createDataFrame([(x,) for y in range(first, last + 1) for x in public_holidays(y)], "day date")
+
+
+def evaluation_classes(rows: DataFrame, ts: str, holidays: DataFrame, opened: str) -> DataFrame:
+    """rows with the classes that errors are told by: season, daytype (workday or weekend/holiday), peak
+    (the peak hours of workdays) and stage, before or after the day something opened."""
+    t = F.col(ts)
+    m = F.month(t)
+    h = F.broadcast(holidays.select(F.col("day").alias("__day"), F.lit(True).alias("__off")))  # ten days a year
+    x = rows.join(h, F.to_date(t) == F.col("__day"), "left")
+    workday = (dow(t) < 5) & F.col("__off").isNull()
+    return x.withColumns({
+        "season": F.when(m.isin(12, 1, 2), "winter").when(m.isin(6, 7, 8), "summer").otherwise("spring/autumn"),
+        "daytype": F.when(workday, "workday").otherwise("weekend/holiday"),
+        "peak": F.when(workday & F.hour(t).isin(*PEAK_HOURS), "peak").otherwise("off-peak"),
+        "stage": F.when(t >= F.lit(opened).cast("timestamp_ntz"), "after").otherwise("before"),
+    }).drop("__day", "__off")
+
+
 def calendar(hours: DataFrame, public_holidays: DataFrame, school: DataFrame) -> DataFrame:
     """One row per hour with calendar features.
 

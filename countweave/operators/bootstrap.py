@@ -25,18 +25,6 @@ def multiplicities(sites: np.ndarray, weeks: np.ndarray, rng: np.random.Generato
     return np.bincount(rng.choice(len(sites), len(sites)), minlength=len(sites)), np.bincount(rng.choice(len(weeks), len(weeks)), minlength=len(weeks))
 
 
-def resample(pdf: pd.DataFrame, rng: np.random.Generator) -> pd.DataFrame:
-    """One draw: sites with replacement (the k-th copy is its own site and entity, `~k`), then
-    weeks with replacement across all sites, as weights."""
-    sites, weeks = np.sort(pdf["site_id"].unique()), np.sort(pdf["week"].unique())
-    pick = rng.choice(sites, len(sites))
-    times = pd.Series(rng.choice(weeks, len(weeks))).value_counts()
-    parts = [pdf[pdf["site_id"] == s].assign(site_id=f"{s}~{k}", entity=lambda q, k=k: q["entity"] + f"~{k}") for k, s in enumerate(pick)]
-    out = pd.concat(parts)
-    out["w"] = out["week"].map(times).fillna(0).to_numpy()
-    return out[out["w"] > 0]
-
-
 class _Panel:
     """Cells of one task, coded; `drawn` gives sums and days of the cells without their week."""
 

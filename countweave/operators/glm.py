@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from countweave.functions import calendar as cal
+
 COVARIATES = ("temp", "temp2", "log_precip", "sun", "holiday", "school")  # numbers of a day
 FACTORS = ("dow", "month")  # its classes
 CALENDAR = ("holiday",)  # what is known of every day without a weather or school table
-LARGEST_CELLS = 1_000_000  # rows a single group's fit may hold
 
 
 def poisson_irls(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, rounds: int = 50, tol: float = 1e-10) -> np.ndarray:
@@ -205,9 +206,11 @@ def leave_one_out(d: DataFrame, a: int, b: int, entity: str = "coverage_id", num
     return cells.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "left_out string, ratio double")
 
 
-def chain(d: DataFrame, min_days: int, numbers: Sequence[str] = (), factors: Sequence[str] = ()) -> DataFrame:
+def chain(d: DataFrame, min_days: int, numbers: Sequence[str] = (), factors: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """from_year, to_year, n_sites, ratio, cumulative: per pair of consecutive years a fit over the
-    sites with enough days in both, with coverage effects."""
+    sites with enough days in both, with coverage effects. All years from the first to the last with
+    any such site are links. One without a site in both years has no ratio, and nothing after it a
+    cumulative value; with `strict` it is an error."""
     sy = d.groupBy("site_id", "year").agg(F.count("*").alias("days")).where(F.col("days") >= min_days).select("site_id", "year")
     link = sy.join(sy.select("site_id", (F.col("year") - 1).alias("year")), ["site_id", "year"]).select("site_id", F.col("year").alias("from_year"))
     j = link.join(cells_of(d, "coverage_id", ["site_id"], numbers, factors), "site_id").where(F.col("year").between(F.col("from_year"), F.col("from_year") + 1))
@@ -217,8 +220,14 @@ def chain(d: DataFrame, min_days: int, numbers: Sequence[str] = (), factors: Seq
         return pd.DataFrame({"from_year": [key[0]], "to_year": [key[0] + 1], "n_sites": [pdf["site_id"].nunique()], "ratio": [r]})
 
     f = j.groupBy("from_year").applyInPandas(fit, "from_year int, to_year int, n_sites int, ratio double")
+    years = sy.agg(F.min("year").alias("a"), F.max("year").alias("b")).where("a < b").select(F.explode(F.sequence("a", F.col("b") - 1)).alias("from_year"))
+    f = years.join(f, "from_year", "left").select("from_year", (F.col("from_year") + 1).alias("to_year"), F.coalesce("n_sites", F.lit(0)).alias("n_sites"), F.nanvl("ratio", F.lit(None)).alias("ratio"))
+    if strict:
+        said = F.concat(F.lit("no site in both "), F.col("from_year").cast("string"), F.lit(" and "), F.col("to_year").cast("string"))
+        f = f.withColumn("ratio", F.when(F.col("ratio").isNotNull(), F.col("ratio")).otherwise(F.raise_error(said).cast("double")))
     w = Window.partitionBy(F.lit(0)).orderBy("from_year").rowsBetween(Window.unboundedPreceding, 0)  # one row a year
-    return f.withColumn("cumulative", F.exp(F.sum(F.log("ratio")).over(w)))
+    whole = F.count("ratio").over(w) == F.count("*").over(w)
+    return f.withColumn("cumulative", F.when(whole, F.exp(F.sum(F.log("ratio")).over(w))))
 
 
 def per_site(d: DataFrame, min_days: int, numbers: Sequence[str] = (), factors: Sequence[str] = ()) -> DataFrame:
@@ -271,30 +280,47 @@ def robust_index(d: DataFrame, base: int, numbers: Sequence[str] = (), factors:
 
 
 FEATURES = ["city", "w180", "m180", "w600", "m600", "anomaly", "near", "near_min", "available"]
+PLACE = ["x_km5", "y_km5"]
+HOURS = ["weekend", "off", "doy_sin", "doy_cos", "sun_elev"]
+
+
+def design_columns() -> list[str]:
+    """Columns of the held-out models: neighbours, calendar, place and the hours 1 to 23."""
+    return [*FEATURES, *HOURS, *PLACE, *[f"hour_{h}" for h in range(1, 24)]]
+
+
+def with_hours(rows: DataFrame, holidays: DataFrame) -> DataFrame:
+    """rows (ts) with the calendar columns of the design."""
+    t = F.col("ts")
+    waves = cal.day_of_year_waves(t)
+    h = F.broadcast(holidays.select(F.col("day").alias("__day"), F.lit(1.0).alias("off")))  # ten days a year
+    x = rows.join(h, F.to_date(t) == F.col("__day"), "left").drop("__day").fillna(0.0, ["off"])
+    x = x.withColumns({"weekend": (cal.dow(t) >= 5).cast("double"), "doy_sin": waves[0], "doy_cos": waves[1], "sun_elev": cal.solar_elevation(cal.to_utc(t))})
+    return x.select("*", *[(F.hour(t) == k).cast("double").alias(f"hour_{k}") for k in range(1, 24)])
 
 
 def _scored(m, rows: DataFrame, pred) -> DataFrame:
     return m.transform(rows).withColumn("pred", pred).groupBy("site").agg(F.avg(F.abs(F.col("pred") - F.col("y"))).alias("mae"), F.count("*").alias("n"))
 
 
-def boosted(rows: DataFrame, trees: int = 20, depth: int = 5) -> DataFrame:
+def boosted(rows: DataFrame, columns: Sequence[str] = tuple(FEATURES), trees: int = 20, depth: int = 5) -> DataFrame:
     """site, mae, n of held-out sites (is_val) by gradient-boosted trees on log counts."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     x = rows.withColumn("__l", F.log1p("y"))
-    p = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), GBTRegressor(labelCol="__l", featuresCol="features", maxIter=trees, maxDepth=depth, seed=1)])
+    p = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), GBTRegressor(labelCol="__l", featuresCol="features", maxIter=trees, maxDepth=depth, seed=1)])
     m = p.fit(x.where("NOT is_val"))
     return _scored(m, x.where("is_val"), F.expm1(F.greatest(F.col("prediction"), F.lit(0.0))))
 
 
-def ridge(rows: DataFrame, alpha: float = 1e-3) -> DataFrame:
+def ridge(rows: DataFrame, columns: Sequence[str] = tuple(FEATURES), alpha: float = 1e-3) -> DataFrame:
     """The same by a Poisson regression with an L2 penalty on standardised features."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    p = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), GeneralizedLinearRegression(family="poisson", link="log", labelCol="y", featuresCol="features", regParam=alpha)])
+    p = Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), GeneralizedLinearRegression(family="poisson", link="log", labelCol="y", featuresCol="features", regParam=alpha)])
     m = p.fit(rows.where("NOT is_val"))
     return _scored(m, rows.where("is_val"), F.col("prediction"))

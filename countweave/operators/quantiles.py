@@ -22,7 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -278,3 +278,66 @@ def read_off(df: DataFrame, keys: Sequence[str], qs: Sequence[float]) -> DataFra
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float] = (0.5, 0.9, 0.99), eps: float = 0.005) -> DataFrame:
     """Percentiles per group with their rank error; see the module's text."""
     return read_off(summaries(df, keys, value, eps), keys, qs)
+
+
+def stand_in(x: Column, ends: Sequence[Column]) -> Column:
+    """x itself inside the intervals ends[0] ... ends[1], ends[2] ... ends[3] and so on (ascending); outside,
+    one value for each stretch between them, which keeps the order of all."""
+    out, n = None, len(ends)
+    for i in range(0, n, 2):
+        left = ends[0] - 1 if i == 0 else (ends[i - 1] + ends[i]) / 2
+        out = F.when(x < ends[i], left) if out is None else out.when(x < ends[i], left)
+        out = out.when(x <= ends[i + 1], x)
+    return out.otherwise(ends[n - 1] + 1)
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], eps: float = 0.001) -> DataFrame:
+    """keys, q, value: the interpolated quantile at place q (n - 1) of each group, exactly, for groups of
+    any size. A summary brackets the ranks; values inside the brackets (a share of about eps per
+    quantile) are counted one by one, all others only between them, and a group's counts meet."""
+    keys = list(keys)
+    m = 2 * len(qs)
+    ends = [f"__e{i}" for i in range(m)]
+    order = sorted(qs)
+    x = F.col(value).cast("double")
+    rows = df.select(*keys, x.alias("__x")).where(x.isNotNull() & ~F.isnan(x))
+    key_fields = [rows.schema[k] for k in keys]
+    limits = T.StructType([*key_fields, *(T.StructField(c, T.DoubleType()) for c in ends)])
+
+    def bounds(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for *key, n, v, lo, hi in pdf[[*keys, "n", "v", "rmin", "rmax"]].itertuples(index=False):
+                v, lo, hi = np.asarray(v), np.asarray(lo), np.asarray(hi)
+                e: list[float] = []
+                for q in order:
+                    low = math.floor(q * (n - 1) + 1e-9) + 1
+                    under, over = np.searchsorted(hi, low, "right") - 1, np.searchsorted(lo, min(n, low + 1), "left")
+                    e += [float(v[max(0, under)]), float(v[min(len(v) - 1, over)])]
+                out.append((*key, *np.maximum.accumulate(e)))
+            yield pd.DataFrame(out, columns=[*keys, *ends])
+
+    b = summaries(rows, keys, "__x", eps).mapInPandas(bounds, limits)
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}"))
+    j = rows.alias("r").join(b.alias("b"), on).select("r.*", *[f"b.{c}" for c in ends])
+    counts = j.groupBy(*keys, stand_in(F.col("__x"), [F.col(c) for c in ends]).alias("__v")).agg(F.count("*").alias("__w"))
+
+    def read(key: tuple, pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("__v")
+        v, top = pdf["__v"].to_numpy(), np.cumsum(pdf["__w"].to_numpy())
+        out = []
+        for q in qs:
+            at = q * (top[-1] - 1)
+            i = math.floor(at + 1e-9)
+            a, c = (v[np.searchsorted(top, min(top[-1], i + d))] for d in (1, 2))
+            out.append((*key, q, float(a + (c - a) * max(0.0, at - i))))
+        return pd.DataFrame(out, columns=[*keys, "q", "value"])
+
+    result = T.StructType([*key_fields, T.StructField("q", T.DoubleType()), T.StructField("value", T.DoubleType())])
+    return counts.groupBy(*keys).applyInPandas(read, result)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from countweave.operators.quantiles import exact_quantiles
+
 TAUS = (120.0, 300.0, 600.0, 1200.0)
 FEATURE_TAUS = (180.0, 600.0)
 BLEND = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -137,13 +139,11 @@ def blend_errors(a: DataFrame, weights: Sequence[float] = BLEND) -> DataFrame:
 
 
 def interval_quantiles(a: DataFrame, keys: list[str], levels: Sequence[float] = (0.8, 0.9)) -> DataFrame:
-    """Exact quantiles of log residuals, per key: q80lo, q80hi, ..."""
+    """Exact quantiles of log residuals, per key: q80lo, q80hi, ... No key comes to one task."""
     res = F.log1p("y") - F.log1p(F.greatest("pred", F.lit(0.0)))
-    aggs = []
-    for x in levels:
-        n = round(100 * x)
-        aggs += [F.percentile(res, F.lit((1 - x) / 2)).alias(f"q{n}lo"), F.percentile(res, F.lit(1 - (1 - x) / 2)).alias(f"q{n}hi")]
-    return a.groupBy(*keys).agg(*aggs)
+    ends = {f"q{round(100 * x)}{side}": (1 - x) / 2 if side == "lo" else 1 - (1 - x) / 2 for x in levels for side in ("lo", "hi")}
+    q = exact_quantiles(a.withColumn("__r", res), keys, "__r", list(ends.values()))
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.abs(F.col("q") - v) < 1e-9, F.col("value"))).alias(n) for n, v in ends.items()])
 
 
 def interval(pred: Column, q: Column) -> Column:

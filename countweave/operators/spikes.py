@@ -324,8 +324,7 @@ def _profiles(ordinary: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
 
     e = s.mapInPandas(bounds, kind(*map(real, ends), real("cut")))
     j = ordinary.alias("r").join(e.alias("e"), _same("r", "e", keys)).select("r.*", *[f"e.{c}" for c in (*ends, "cut")])
-    x, c = F.col("__x"), [F.col(n) for n in ends]
-    stands = F.when(x < c[0], c[0] - 1).when(x <= c[1], x).when(x < c[2], (c[1] + c[2]) / 2).when(x <= c[3], x).when(x < c[4], (c[3] + c[4]) / 2).when(x <= c[5], x).otherwise(c[5] + 1)
+    stands = quantiles.stand_in(F.col("__x"), [F.col(c) for c in ends])
     counts = j.groupBy(*keys, stands.alias("v")).agg(F.count("*").alias("w"), F.first("cut").alias("cut"))
 
     def exact(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

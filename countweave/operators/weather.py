@@ -18,12 +18,12 @@ def last_file_wins(files: Sequence[DataFrame], key: str) -> DataFrame:
     return ranked.groupBy(key).agg(F.max_by(F.struct(*rest), "__rank").alias("r")).select(key, "r.*")
 
 
-def on_spine(spine: DataFrame, rows: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+def on_spine(spine: DataFrame, rows: DataFrame, key: str | Sequence[str], values: Sequence[str]) -> DataFrame:
     """Left join to the dense spine; `filled` marks hours in which any value is missing."""
     missing = F.lit(False)
     for v in values:
         missing = missing | F.col(v).isNull()
-    return spine.join(rows, key, "left").withColumn("filled", missing)
+    return spine.join(rows, [key] if isinstance(key, str) else list(key), "left").withColumn("filled", missing)
 
 
 def interpolated(df: DataFrame, order: str, value: str, limit: int = 3, part: str | None = None) -> DataFrame:

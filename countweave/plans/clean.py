@@ -237,7 +237,7 @@ def calendar_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R("""WITH u AS (SELECT DISTINCT date_trunc('hour', ts) AS t FROM events),
-x AS (SELECT t, radians(-23.44 * cos(2 * pi() * (dayofyear(t) + 10) / 365.25)) AS decl, radians((hour(t) + 0.5 - 12) * 15 + 8.54) AS ang, radians(47.37) AS la FROM u)
+x AS (SELECT t, radians(23.44) * sin(2 * pi() * (284 + dayofyear(t + INTERVAL 30 MINUTE)) / 365) AS decl, radians(15 * (hour(t + INTERVAL 30 MINUTE) + minute(t + INTERVAL 30 MINUTE) / 60.0 - 12) + 8.54) AS ang, radians(47.37) AS la FROM u)
 SELECT CAST(t AS VARCHAR) AS ts_utc, round(degrees(asin(sin(la) * sin(decl) + cos(la) * cos(decl) * cos(ang))), 4) AS sun_elev FROM x""")
 def solar_elevation(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "events").select(cal.naive_trunc("HOUR", F.col("ts")).alias("t")).distinct()
@@ -277,25 +277,30 @@ def last_file_wins(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.col("ts").cast("string").alias("ts"), F.round("temp", 6).alias("temp"), "wind")
 
 
-SPINE = "sp AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS ts)"
-PURCH = "p AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS temp FROM events WHERE event_type = 'error' AND user_id % 3 = 0 GROUP BY 1)"
+DENSE = """c AS (SELECT standort_id, ts_local AS ts, max(raw_total) AS n FROM counts_hourly GROUP BY 1, 2),
+sp AS (SELECT standort_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM c GROUP BY 1),
+s AS (SELECT standort_id, ts, n FROM sp LEFT JOIN c USING (standort_id, ts))"""
 
 
-def sparse_series(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").where("event_type = 'error' AND user_id % 3 = 0").groupBy(cal.naive_trunc("HOUR", F.col("ts")).alias("ts")).agg(F.avg("value").alias("temp"))
-    spine = cal.hour_spine(spark, "2024-01-01 00:00:00", "2024-01-31 00:00:00").withColumnRenamed("ts_local", "ts")
-    return weather.on_spine(spine, rows, "ts", ["temp"])
+def device_series(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of every device on its hours from first to last: standort_id, ts, n, filled."""
+    c = table(spark, d, "counts_hourly").groupBy("standort_id", F.col("ts_local").alias("ts")).agg(F.max("raw_total").alias("n"))
+    span = c.groupBy("standort_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    spine = span.select("standort_id", F.explode(F.expr("sequence(a, b, INTERVAL 1 HOUR)")).alias("ts"))
+    return weather.on_spine(spine, c, ["standort_id", "ts"], ["n"])
 
 
-@R(f"WITH {SPINE}, {PURCH} SELECT CAST(ts AS VARCHAR) AS ts, round(temp, 6) AS temp, temp IS NULL AS filled FROM sp LEFT JOIN p USING (ts)")
+@R(f"WITH {DENSE} SELECT standort_id, CAST(ts AS VARCHAR) AS ts, n, n IS NULL AS filled FROM s")
 def spine_left_fill(spark: SparkSession, d: str) -> DataFrame:
-    return sparse_series(spark, d).select(F.col("ts").cast("string").alias("ts"), F.round("temp", 6).alias("temp"), "filled")
+    """Every device's dense hours with what was counted."""
+    return device_series(spark, d).withColumn("ts", F.col("ts").cast("string"))
 
 
-@R(f"""WITH {SPINE}, {PURCH}, s AS (SELECT ts, temp, row_number() OVER (ORDER BY ts) AS i FROM sp LEFT JOIN p USING (ts)),
-n AS (SELECT *, max(CASE WHEN temp IS NOT NULL THEN i END) OVER (ORDER BY ts) AS pi_, min(CASE WHEN temp IS NOT NULL THEN i END) OVER (ORDER BY ts DESC) AS ni FROM s)
-SELECT CAST(n.ts AS VARCHAR) AS ts, round(CASE WHEN n.temp IS NOT NULL THEN n.temp WHEN n.i - n.pi_ <= 3 AND n.ni IS NOT NULL THEN a.temp + (b.temp - a.temp) * (n.i - n.pi_) / (n.ni - n.pi_) END, 6) AS temp FROM n LEFT JOIN s a ON a.i = n.pi_ LEFT JOIN s b ON b.i = n.ni""")
+@R(f"""WITH {DENSE}, i AS (SELECT *, row_number() OVER (PARTITION BY standort_id ORDER BY ts) AS i FROM s),
+n AS (SELECT *, last_value(n IGNORE NULLS) OVER b AS v0, first_value(n IGNORE NULLS) OVER f AS v1, last_value(CASE WHEN n IS NOT NULL THEN i END IGNORE NULLS) OVER b AS i0, first_value(CASE WHEN n IS NOT NULL THEN i END IGNORE NULLS) OVER f AS i1 FROM i
+  WINDOW b AS (PARTITION BY standort_id ORDER BY ts ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY standort_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT standort_id, CAST(ts AS VARCHAR) AS ts, round(CASE WHEN n IS NOT NULL THEN n WHEN i - i0 <= 3 AND i1 IS NOT NULL THEN v0 + (v1 - v0) * (i - i0) / (i1 - i0) END, 6) AS n FROM n""")
 def gap_interpolation(spark: SparkSession, d: str) -> DataFrame:
-    """The first three hours of every interior gap."""
-    x = weather.interpolated(sparse_series(spark, d), "ts", "temp", 3)
-    return x.select(F.col("ts").cast("string").alias("ts"), F.round("temp", 6).alias("temp"))
+    """The first three hours of every interior gap of each device."""
+    x = weather.interpolated(device_series(spark, d), "ts", "n", 3, "standort_id")
+    return x.select("standort_id", F.col("ts").cast("string").alias("ts"), F.round("n", 6).alias("n"))

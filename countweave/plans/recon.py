@@ -11,7 +11,7 @@ from countweave.functions import calendar as cal
 from countweave.functions.checkpoints import cut
 from countweave.functions.partitions import ahead_of_expansion
 from countweave.functions.settings import DEFAULT
-from countweave.operators import bootstrap, glm, metrics, panel, reconstruct
+from countweave.operators import anomalies, bootstrap, glm, metrics, panel, reconstruct
 from countweave.plans import geo, index
 from countweave.plans.registry import Registry
 from countweave.sources.tables import table
@@ -99,22 +99,28 @@ def metrics_macro(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.macro(predictions(spark, d)))
 
 
-@R(f"WITH {PRED}, g AS (SELECT *, CASE WHEN month(ts) IN (12, 1, 2) THEN 'winter' WHEN month(ts) <= 5 THEN 'spring' WHEN month(ts) <= 8 THEN 'summer' ELSE 'autumn' END AS season, CASE WHEN dayofweek(ts) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS daytype FROM pr) SELECT CASE WHEN grouping(season) = 0 THEN 'season' ELSE 'daytype' END AS dim, coalesce(season, daytype) AS value, model, {ERR} FROM g GROUP BY GROUPING SETS ((season, model), (daytype, model))")
-def metrics_by_group(spark: SparkSession, d: str) -> DataFrame:
-    """Several groupings in one pass of grouping sets."""
-    from countweave.functions.calendar import dow, season
+OPENED = "2022-05-22"  # of the panel's years; a parameter
+_DAYS_OFF = ", ".join(f"DATE '{x}'" for y in range(2005, 2031) for x in cal.public_holidays(y))
+_WORKDAY = f"(dayofweek(ts) NOT IN (0, 6) AND CAST(ts AS DATE) NOT IN ({_DAYS_OFF}))"
+CLASSES = f"""g AS (SELECT *, CASE WHEN month(ts) IN (12, 1, 2) THEN 'winter' WHEN month(ts) IN (6, 7, 8) THEN 'summer' ELSE 'spring/autumn' END AS season, CASE WHEN {_WORKDAY} THEN 'workday' ELSE 'weekend/holiday' END AS daytype,
+  CASE WHEN {_WORKDAY} AND hour(ts) IN (7, 8, 16, 17, 18) THEN 'peak' ELSE 'off-peak' END AS peak, CASE WHEN ts >= TIMESTAMP '{OPENED}' THEN 'after' ELSE 'before' END AS stage FROM pr)"""
+DIMS = ["season", "daytype", "peak", "stage"]
 
-    x = predictions(spark, d).select("*", season(F.col("ts")).alias("season"), F.when(dow(F.col("ts")) >= 5, "weekend").otherwise("weekday").alias("daytype"))
-    return rounded(metrics.by_group(x, ["season", "daytype"]))
 
+def classed(spark: SparkSession, d: str) -> DataFrame:
+    return cal.evaluation_classes(predictions(spark, d), "ts", cal.holiday_table(spark), OPENED)
+
+
+@R(f"WITH {PRED}, {CLASSES} SELECT CASE WHEN grouping(season) = 0 THEN 'season' WHEN grouping(daytype) = 0 THEN 'daytype' WHEN grouping(peak) = 0 THEN 'peak' ELSE 'stage' END AS dim, coalesce(season, daytype, peak, stage) AS value, model, {ERR} FROM g GROUP BY GROUPING SETS ((season, model), (daytype, model), (peak, model), (stage, model))")
+def metrics_by_group(spark: SparkSession, d: str) -> DataFrame:
+    """Four groupings in one pass of grouping sets."""
+    return rounded(metrics.by_group(classed(spark, d), DIMS))
 
-@R(f"WITH {PRED}, g AS (SELECT model, CASE WHEN dayofweek(ts) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS value, round(avg(abs(pred - y)), 5) AS mae FROM pr GROUP BY 1, 2) SELECT 'daytype' AS dim, value, max(mae) FILTER (WHERE model = 'idw') AS idw, max(mae) FILTER (WHERE model = 'mean') AS mean FROM g GROUP BY 1, 2")
-def metrics_wide(spark: SparkSession, d: str) -> DataFrame:
-    """Errors of a grouping with the models side by side."""
-    from countweave.functions.calendar import dow
 
-    x = predictions(spark, d).select("*", F.when(dow(F.col("ts")) >= 5, "weekend").otherwise("weekday").alias("daytype"))
-    return metrics.wide(rounded(metrics.by_group(x, ["daytype"])), ["idw", "mean"])
+@R(f"WITH {PRED}, {CLASSES}, u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS dim, {c} AS value, model, round(avg(abs(pred - y)), 5) AS mae FROM g GROUP BY 2, 3" for c in DIMS) + ") SELECT dim, value, max(mae) FILTER (WHERE model = 'idw') AS idw, max(mae) FILTER (WHERE model = 'mean') AS mean FROM u GROUP BY 1, 2")
+def metrics_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of the groupings with the models side by side."""
+    return metrics.wide(rounded(metrics.by_group(classed(spark, d), DIMS)), ["idw", "mean"])
 
 
 @R(f"WITH {PRED}, q AS (SELECT model, site, CAST(ts AS DATE) AS day, sum(y) AS y, sum(pred) AS pred FROM pr GROUP BY 1, 2, 3 HAVING count(*) = 24) SELECT model, {ERR} FROM q GROUP BY 1")
@@ -317,8 +323,7 @@ ADJUST = {"numbers": glm.CALENDAR, "factors": glm.FACTORS}
 def adjusted(d: DataFrame) -> DataFrame:
     """Daily rows with weekday, month and public holiday; the test tables hold no weather and no
     school calendar of these years."""
-    days = [(x,) for y in range(1990, 2061) for x in cal.public_holidays(y)]
-    holiday = d.sparkSession.createDataFrame(days, "day date").withColumn("holiday", F.lit(1.0))
+    holiday = cal.holiday_table(d.sparkSession).withColumn("holiday", F.lit(1.0))
     return glm.with_days(d.join(F.broadcast(holiday), "day", "left").fillna(0.0, ["holiday"]))
 
 
@@ -419,9 +424,57 @@ def draw_histogram(spark: SparkSession, d: str) -> DataFrame:
     return bootstrap.histogram(v, 0.8, 1.6, 8)
 
 
+# What handling each anomaly otherwise changes. Groups: A measurement breaks, B disruptions, C events
+# of the whole city, D local change. Each: group, name, breaks, split by coverage, rows kept, sites left
+# out of the median (null: no such figure).
+ANOMALIES = [
+    ("A", "first flagged swap as a break", {"VZS_ANDR": ["2019-10-11"]}, True, None, ["VZS_ANDR"]),
+    ("A", "second flagged swap as a break", {"VZS_HOFW": ["2019-03-14"]}, True, None, ["VZS_HOFW"]),
+    ("A", "both flagged swaps as breaks", {"VZS_HOFW": ["2019-03-14"], "VZS_ANDR": ["2019-10-11"]}, True, None, None),
+    ("A", "changes of the factor not split", {}, False, None, None),
+    ("A", "steps at counters added later", None, True, None, ["VZS_SCHU", "VZS_LIMC", "VZS_BUCH", "VZS_TOED", "VZS_HARN"]),
+    ("B", "disrupted site-years dropped", {}, True, "NOT (site_id = 'VZS_HUB' AND year = 2021)", None),
+    ("C", "years 2020 and 2021 dropped", {}, True, "year NOT IN (2020, 2021)", None),
+    ("D", "gradual ramps as breaks", {"VZS_ANDR": ["2014-04-01", "2015-04-01", "2019-10-11"], "VZS_MUEH": ["2015-01-01"]}, True, None, None),
+    ("D", "documented route effects excluded", None, True, None, ["VZS_BASL", "VZS_LANN", "VZS_LANS", "VZS_LAFN", "VZS_LAFS"]),
+    ("D", "unexplained step excluded", None, True, None, ["VZS_HUB"]),
+]
+
+
+def anomaly_table(spark: SparkSession, d: str) -> DataFrame:
+    """Per anomaly the adjusted ratio of the fixed panel and the ratio of the medians of site means,
+    each with its handling, against the plain ones."""
+    x = index.daily(spark, d)
+    fixed, ends = on_fixed_panel(x), (index.BASE, index.TARGET)
+    sy = panel.site_years(x, index.DAYS)
+
+    def fit(y: DataFrame, entity: str = "coverage_id") -> DataFrame:
+        return glm.panel_ratio(y, *ends, entity=entity, **ADJUST)
+
+    def median(leave: list[str]) -> DataFrame:
+        at = lambda y: F.median(F.when(F.col("year") == y, F.col("corrected")))
+        return sy.where(~F.col("site_id").isin(leave) if leave else F.lit(True)).agg((at(index.TARGET) / at(index.BASE)).alias("city_median"))
+
+    none = spark.range(1).select(F.lit(None).cast("double").alias("x"))
+    out = None
+    for group, name, breaks, split, kept, leave in ANOMALIES:
+        y = panel.with_breaks(fixed, breaks or {}).where(kept or "true")
+        ratio = none.toDF("ratio") if breaks is None else fit(y, "coverage_id" if split else "site_id")
+        one = ratio.crossJoin(none.toDF("city_median") if leave is None else median(leave))  # one row each
+        one = one.select(F.lit(group).alias("group"), F.lit(name).alias("anomaly"), "ratio", "city_median")
+        out = one if out is None else out.unionByName(one)
+    base = fit(fixed).toDF("base_ratio").crossJoin(median([]).toDF("base_median"))  # one row each
+    j = out.crossJoin(F.broadcast(base))  # one row
+    ratio = F.nanvl("ratio", F.lit(None))
+    return j.select("group", "anomaly", F.round(ratio, 5).alias("ratio"), F.round("city_median", 5).alias("city_median"), F.round(100 * (ratio / F.col("base_ratio") - 1), 3).alias("change_pct"), F.round(100 * (F.col("city_median") / F.col("base_median") - 1), 3).alias("median_change_pct"), anomalies.verdict(ratio, F.col("base_ratio")).alias("changes_verdict"))
+
+
+R()(anomaly_table)
+
+
 def gradient_boosting(spark: SparkSession, d: str) -> DataFrame:
     """M21 in Spark's own trees: squared loss on log counts stands in for the Poisson loss."""
-    return glm.boosted(_design(spark, d)).select("site", F.round("mae", 3).alias("mae"), "n")
+    return glm.boosted(_design(spark, d), glm.design_columns()).select("site", F.round("mae", 3).alias("mae"), "n")
 
 
 R()(gradient_boosting)
@@ -429,12 +482,31 @@ R()(gradient_boosting)
 
 def ridge_poisson(spark: SparkSession, d: str) -> DataFrame:
     """L2-penalised Poisson regression over standardised features."""
-    return glm.ridge(_design(spark, d)).select("site", F.round("mae", 3).alias("mae"), "n")
+    return glm.ridge(_design(spark, d), glm.design_columns()).select("site", F.round("mae", 3).alias("mae"), "n")
 
 
 R()(ridge_poisson)
 
 
+def alpha_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out error of a grid of penalties."""
+    x = cut(_design(spark, d))  # read by every fit
+    out = None
+    for a in (1e-4, 1e-3, 1e-2):
+        one = glm.ridge(x, glm.design_columns(), a).agg(F.lit(a).alias("alpha"), F.round(F.sum(F.col("mae") * F.col("n")) / F.sum("n"), 4).alias("mae"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+R()(alpha_grid)
+
+MOST_ROWS = 300_000  # of a model's training sample
+
+
 def _design(spark: SparkSession, d: str) -> DataFrame:
-    f = neighbour_columns(spark, d)
-    return f.join(counts(spark, d), ["site", "ts"]).withColumn("is_val", F.pmod(F.xxhash64("site"), F.lit(4)) == 0)
+    """Neighbour, calendar and place columns of a seeded sample of at most MOST_ROWS site-hours, the
+    held-out sites (is_val) among them."""
+    c = reconstruct.subsample(counts(spark, d).select("site", "ts", "y"), ["site", "ts"], DEFAULT.seed, MOST_ROWS)
+    f = neighbour_columns(spark, d).join(c, ["site", "ts"])
+    f = f.join(geo.sites(spark, d).select(F.col("id").alias("site"), ((F.col("x") - 2_683_000) / 5000).alias("x_km5"), ((F.col("y") - 1_248_000) / 5000).alias("y_km5")), "site")
+    return glm.with_hours(f, cal.holiday_table(spark)).withColumn("is_val", F.pmod(F.xxhash64("site"), F.lit(4)) == 0)

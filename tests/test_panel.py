@@ -98,10 +98,12 @@ def test_poisson_closed_form_and_draws(spark):
     assert h[1]["adjusted_index"] == pytest.approx(200) and h[1]["ci_lo"] == pytest.approx(200, abs=0.1)
 
 
-def test_resample_copies_and_weeks():
-    pdf = pd.DataFrame([(f"s{s}", f"s{s}#1", y, f"{y}-{w:02}", 10.0, 7) for s in range(4) for y in (2012, 2024) for w in range(1, 9)], columns=["site_id", "entity", "year", "week", "s", "n"])
-    r = bootstrap.resample(pdf, np.random.default_rng(0))
-    assert set(r["week"]) <= set(pdf["week"]) and r["entity"].nunique() == 4 and (r["w"] > 0).all()
+def test_draws_of_sites_and_weeks():
+    sites, weeks = np.array(["a", "b", "c"]), np.arange(20)
+    site, week = bootstrap.multiplicities(sites, weeks, np.random.default_rng(0))
+    assert site.sum() == 3 and week.sum() == 20 and len(site) == 3 and len(week) == 20
+    again = bootstrap.multiplicities(sites, weeks, np.random.default_rng(0))
+    assert (site == again[0]).all() and (week == again[1]).all()
 
 
 def test_poisson_fit_of_a_deficient_design_is_nan():
@@ -202,9 +204,11 @@ def test_file_sources(spark, tmp_path):
     assert files.jsonl(spark, str(tmp_path / "log"), "fold int, holdout array<string>, params map<string,double>").count() == 2
     files.write_parquet(log, str(tmp_path / "pq"), ["fold"])
     assert files.missing_parts(str(tmp_path / "pq"), "fold", [1, 2]) == [2]
-    t = pd.DataFrame([["x", None, None], ["Head", 2012, 2013], ["Row", 100.0, 104.0]])
-    assert files.labelled_series(t, "Head", "Row") == {2012: 100.0, 2013: 104.0}
-    assert files.vintage_drift({2012: 100.0}, {2012: 100.0, 2013: 104.0}) == {2013: (None, 104.0)}
+    (tmp_path / "sheet.csv").write_text("x,,\n Head ,2012,2013,sum\nRow,100.0,104.0,204\nRow,1,2,3\n")
+    live = files.row_by_label(files.sheet_cells(spark, str(tmp_path / "sheet.csv")), "Head", "Row")
+    assert sorted(map(tuple, live.collect())) == [(2012, 100.0), (2013, 104.0)]
+    recorded = spark.createDataFrame([(2012, 100.04), (2013, 105.0), (2014, 110.0)], "year int, value double")
+    assert sorted((r["year"], r["kind"]) for r in files.drift(live, recorded).collect()) == [(2013, "changed"), (2014, "gone")]
     assert files.manifest(spark, str(tmp_path), "a.csv").collect()[0]["bytes"] == 8
 
 
