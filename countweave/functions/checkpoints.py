@@ -6,19 +6,25 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and written to spark.checkpoint.dir. Where that is unset and the master is a
-    local one (tests), a temporary folder serves; on a cluster the setting is required."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session shares: spark.checkpoint.dir. Where that is unset and the master is a
+    local one (tests), a temporary folder serves until the process ends; on a cluster it is required."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
             if not sc.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir is not set")
             where = tempfile.mkdtemp(prefix="countweave-")
             atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

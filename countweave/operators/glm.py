@@ -1,7 +1,8 @@
 """Poisson regressions with fixed effects: year effects beside entities and covariates.
 
-Two ways: Spark's GeneralizedLinearRegression for one large fit, and weighted iterated least
-squares per group (numpy) where many small fits run side by side, one group per task.
+Days are condensed to cells (entity, year, covariates) in the JVM; a fit reads cells alone. Entity
+effects are profiled out in closed form, so a fit solves for years and covariates, however many
+entities there are; it holds one number per entity and kind of day.
 """
 
 from __future__ import annotations
@@ -45,12 +46,6 @@ def dummies(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (i[:, None] == np.arange(1, len(levels))[None, :]).astype(float), levels
 
 
-def condensed(d: DataFrame, entity: str, value: str = "total", more: Sequence[str] = ()) -> DataFrame:
-    """entity, year, sums and rows: a Poisson fit whose covariates are constant within a cell needs
-    no more than the cell's mean and size, so millions of days become a few cells."""
-    return d.groupBy(F.col(entity).alias("entity"), "year", *more).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-
-
 def with_days(d: DataFrame, calendar: DataFrame | None = None, weather: DataFrame | None = None) -> DataFrame:
     """d with dow and month of its days and, where given, holiday (and school) and temp, temp2,
     log_precip and sun. Days without a row in a given table drop out."""
@@ -62,27 +57,17 @@ def with_days(d: DataFrame, calendar: DataFrame | None = None, weather: DataFram
     return d
 
 
-def year_effects(d: DataFrame, value: str, entity: str | None, covariates: Sequence[str] = (), factors: Sequence[str] = ()) -> DataFrame:
-    """year, effect (log) of one large fit by Spark's GLM. Entities, years and factors are indexed;
-    counts are rounded. Rows alike in all of these are condensed to cells weighted by their size."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
+def year_effects(d: DataFrame, value: str, entity: str | None, numbers: Sequence[str] = (), factors: Sequence[str] = ()) -> DataFrame:
+    """year, effect (log, against the first year) of one fit over all rows of d, with an effect per entity
+    (profiled out, so their number does not matter to the fit) and covariates. Rows alike in all of
+    these are condensed to cells first; only cells meet. Nothing runs before an action."""
+    y = d.where(F.col(value).isNotNull()).select("year", (F.col(entity) if entity else F.lit("all")).alias("__e"), F.col(value).alias("total"), *numbers, *factors)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        levels, effect, _ = Design(pdf, numbers, factors).fit(np.arange(len(pdf)), pdf["s"].to_numpy(float), pdf["n"].to_numpy(float))
+        return pd.DataFrame({"year": levels.astype("int32"), "effect": effect})
 
-    spark = d.sparkSession
-    d = d.withColumn("__y", F.rint(value)).where("__y IS NOT NULL")
-    d = d.groupBy("year", *([entity] if entity else []), *covariates, *factors).agg(F.avg("__y").alias("__y"), F.count("*").cast("double").alias("__w"))
-    classes = ["__year", *([entity] if entity else []), *[f"__f_{c}" for c in factors]]
-    d = d.withColumn("__year", F.col("year").cast("string")).withColumns({f"__f_{c}": F.col(c).cast("string") for c in factors})
-    stages = []
-    for c in classes:
-        stages += [StringIndexer(inputCol=c, outputCol=f"{c}_i", stringOrderType="alphabetAsc"), OneHotEncoder(inputCol=f"{c}_i", outputCol=f"{c}_v")]
-    stages += [VectorAssembler(inputCols=[f"{c}_v" for c in classes] + list(covariates), outputCol="features")]
-    stages += [GeneralizedLinearRegression(family="poisson", link="log", labelCol="__y", weightCol="__w", featuresCol="features", regParam=0.0, maxIter=50)]
-    m = Pipeline(stages=stages).fit(d)
-    years = [int(x) for x in m.stages[0].labels]
-    beta = list(m.stages[-1].coefficients)[: len(years) - 1] + [0.0]  # the last level is the reference
-    return spark.createDataFrame([(y, float(b)) for y, b in zip(years, beta)], "year int, effect double")
+    return cells_of(y, "__e", [], numbers, factors).groupBy(F.lit(0).alias("all")).applyInPandas(fit, "year int, effect double")
 
 
 def ratios_to(effects: DataFrame, base: int) -> DataFrame:

@@ -70,26 +70,34 @@ def weekly(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.weekofyear("ts").alias("week"), "model").agg(F.sum(F.abs(F.col("pred") - F.col("y"))).alias("s"), F.count("*").alias("n"))
 
 
-def week_draws(week: DataFrame, n: int, seed: int) -> DataFrame:
-    """draw, week, k: in each of n draws as many weeks as there are, with replacement; each draw has
-    its own seed. k is how often the week was taken, and weeks not taken have no row."""
+def _interval(s: np.ndarray, n: np.ndarray, draws: int, seed: int, rule=None) -> tuple[float, float]:
+    """95 % interval of sum(k s) / sum(k n) over draws of weeks with replacement; k is how often a week is
+    taken. Each draw has its own seed. `rule`, draw -> k, stands for the random ones in checks."""
+    w = len(s)
+    k = np.stack([rule(i) if rule else np.bincount(np.random.default_rng([seed, i]).integers(0, w, w), minlength=w) for i in range(draws)])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        x = (k @ s) / (k @ n)
+    return tuple(np.nanquantile(x, [0.025, 0.975])) if np.isfinite(x).any() else (np.nan, np.nan)
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        weeks = np.sort(pdf["week"].to_numpy())
-        k = np.stack([np.bincount(np.random.default_rng([seed, i]).integers(0, len(weeks), len(weeks)), minlength=len(weeks)) for i in range(n)])
-        i, w = np.nonzero(k)
-        return pd.DataFrame({"draw": i, "week": weeks[w], "k": k[i, w]})
 
-    return week.select("week").distinct().groupBy(F.lit(0).alias("all")).applyInPandas(work, "draw int, week int, k int")  # 53 weeks
+def by_rule(weeks: np.ndarray):
+    """Multiplicities that SQL computes as well: k = (week * 7 + draw * 13) % 3, draws from 1."""
+    return lambda i: (weeks * 7 + (i + 1) * 13) % 3
+
 
+def block_bootstrap(week: DataFrame, a: str, b: str, draws: int, seed: int, ruled: bool = False) -> DataFrame:
+    """model_a, model_b, diff, lo, hi: difference of pooled MAE a - b and its interval over draws of weeks.
+    week: `weekly`, at most 53 rows a model, which is what one task holds."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = pdf.pivot_table(index="week", columns="model", values="s", aggfunc="sum").reindex(columns=[a, b])
+        n = pdf[pdf["model"] == a].groupby("week")["n"].sum().reindex(s.index)
+        diff, n = (s[a] - s[b]).fillna(0).to_numpy(float), n.fillna(0).to_numpy(float)
+        lo, hi = _interval(diff, n, draws, seed, by_rule(s.index.to_numpy()) if ruled else None)
+        return pd.DataFrame({"diff": [diff.sum() / max(n.sum(), 1)], "lo": [lo], "hi": [hi]})
 
-def block_bootstrap(week: DataFrame, draws: DataFrame, a: str, b: str) -> DataFrame:
-    """Difference of pooled MAE a - b over draws (draw, week, k): point and 95 % interval."""
-    p = week.groupBy("week").agg(F.sum(F.when(F.col("model") == a, F.col("s"))).alias("sa"), F.sum(F.when(F.col("model") == b, F.col("s"))).alias("sb"), F.sum(F.when(F.col("model") == a, F.col("n"))).alias("n"))
-    d = draws.join(p, "week").groupBy("draw").agg((F.sum(F.col("k") * (F.col("sa") - F.col("sb"))) / F.sum(F.col("k") * F.col("n"))).alias("diff"))
-    point = p.agg((F.sum(F.col("sa") - F.col("sb")) / F.sum("n")).alias("diff"), F.lit(1).alias("__j"))
-    ci = d.agg(F.percentile("diff", F.lit(0.025)).alias("lo"), F.percentile("diff", F.lit(0.975)).alias("hi"), F.lit(1).alias("__j"))
-    return point.join(ci, "__j").select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "diff", "lo", "hi")
+    one = week.groupBy(F.lit(0).alias("all")).applyInPandas(work, "diff double, lo double, hi double")
+    return one.select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "diff", "lo", "hi")
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -109,14 +117,18 @@ def weekly_difference(p: DataFrame) -> DataFrame:
     return p.groupBy("site", F.weekofyear("ts").alias("week")).agg(F.sum(e).alias("s"), F.count("*").alias("n"))
 
 
-def paired_bootstrap(site_week: DataFrame, draws: DataFrame) -> DataFrame:
-    """MAE difference of run b minus run a, its weekly-block interval, sites won."""
+def paired_bootstrap(site_week: DataFrame, draws: int, seed: int, ruled: bool = False) -> DataFrame:
+    """diff, lo, hi, wins, n_sites: MAE difference of run b minus run a, its weekly-block interval, sites won."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, n = pdf["s"].to_numpy(float), pdf["n"].to_numpy(float)
+        lo, hi = _interval(s, n, draws, seed, by_rule(pdf["week"].to_numpy()) if ruled else None)
+        return pd.DataFrame({"diff": [s.sum() / n.sum()], "lo": [lo], "hi": [hi]})
+
     week = site_week.groupBy("week").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    d = draws.join(week, "week").groupBy("draw").agg((F.sum(F.col("k") * F.col("s")) / F.sum(F.col("k") * F.col("n"))).alias("diff"))
-    point = week.agg((F.sum("s") / F.sum("n")).alias("diff"), F.lit(1).alias("__j"))
-    ci = d.agg(F.percentile("diff", F.lit(0.025)).alias("lo"), F.percentile("diff", F.lit(0.975)).alias("hi"), F.lit(1).alias("__j"))
+    ci = week.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: work(pdf.sort_values("week")), "diff double, lo double, hi double")
     wins = site_week.groupBy("site").agg((F.sum("s") / F.sum("n")).alias("m")).agg(F.count_if(F.col("m") < 0).alias("wins"), F.count("*").alias("n_sites"), F.lit(1).alias("__j"))
-    return point.join(ci, "__j").join(wins, "__j").drop("__j")
+    return ci.withColumn("__j", F.lit(1)).join(wins, "__j").drop("__j")
 
 
 def chosen(val_better: Column, ci_hi: Column, wins: Column, n_sites: Column) -> Column:

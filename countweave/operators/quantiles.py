@@ -326,7 +326,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
     j = rows.alias("r").join(b.alias("b"), on).select("r.*", *[f"b.{c}" for c in ends])
     counts = j.groupBy(*keys, stand_in(F.col("__x"), [F.col(c) for c in ends]).alias("__v")).agg(F.count("*").alias("__w"))
 
-    def read(key: tuple, pdf):
+    def read(key, pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("__v")

@@ -32,12 +32,11 @@ def hour_block(ts: Column | str) -> Column:
     return F.floor((F.unix_date(F.to_date(ts)) * 24 + F.hour(ts)) / BLOCK_HOURS).cast("int")
 
 
-def _per_hour(y: np.ndarray, src: np.ndarray, dst: np.ndarray, cost: np.ndarray, mean: np.ndarray, taus: Sequence[float], log: bool):
+def _per_hour(y: np.ndarray, src: np.ndarray, dst: np.ndarray, cost: np.ndarray, mean: np.ndarray, weights: dict[float, np.ndarray], log: bool):
     """For hours x sites of counts (nan where none): hours, targets and columns by name, of every
     target and hour with any neighbour. Pairs are sorted by (src, cost, dst)."""
     first = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
     total = lambda x: np.add.reduceat(x, first, axis=1)
-    weights = [np.exp(-cost / tau) for tau in taus]
     step = max(1, CELLS // len(src))
     for lo in range(0, len(y), step):
         v = y[lo : lo + step][:, dst]
@@ -46,11 +45,11 @@ def _per_hour(y: np.ndarray, src: np.ndarray, dst: np.ndarray, cost: np.ndarray,
         n = total(seen.astype(np.int64))
         h, k = np.nonzero(n)
         out = {"available": n[h, k], "total": total(v)[h, k]}
-        for tau, w in zip(taus, weights):
+        for tau, w in weights.items():
             out[f"w{int(tau)}"] = total(seen * w)[h, k]
             out[f"s{int(tau)}"] = total(v * w)[h, k]
         if log:
-            out["anomaly"] = total(np.where(seen, v - mean[dst], 0.0) * weights[-1])[h, k]
+            out["anomaly"] = total(np.where(seen, v - mean[dst], 0.0) * w)[h, k]
             near = np.minimum.reduceat(np.where(seen, np.arange(len(src)), len(src)), first, axis=1)[h, k]
             out["near"], out["near_cost"] = v[h, near], cost[near]
         yield lo + h, src[first][k], out
@@ -71,7 +70,7 @@ def neighbour_sums(counts: DataFrame, t: DataFrame, targets: DataFrame, taus: Se
     near = t.join(targets.select(F.col("site").alias("src")), "src", "left_semi").where("src <> dst AND cost IS NOT NULL").select("src", "dst", F.col("cost").cast("double").alias("cost"))
     near = near.join(device_mean.select(F.col("site").alias("dst"), F.col("mean_log").cast("double").alias("mean")), "dst", "left") if log else near.withColumn("mean", F.lit(0.0))
     blocks = seen.select(F.col("site").alias("dst"), "__b").distinct()
-    near = near.join(blocks, "dst").select(F.col("__b").alias("__n"), "src", "dst", "cost", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+    near = near.join(blocks, "dst").select(F.col("__b").alias("__n"), "src", "dst", "cost", F.coalesce("mean", F.lit(0.0)).alias("mean"), *[F.exp(-F.col("cost") / tau).alias(f"w{int(tau)}") for tau in taus])
     names = ["available", "total", *[f"{k}{int(tau)}" for tau in taus for k in "ws"], *(["anomaly", "near", "near_cost"] if log else [])]
     schema = "site string, ts timestamp_ntz, available long, " + ", ".join(f"{n} double" for n in names[1:])
 
@@ -91,7 +90,8 @@ def neighbour_sums(counts: DataFrame, t: DataFrame, targets: DataFrame, taus: Se
         order = np.lexsort([dst, cost, src])
         parts = []
         names_of = pa.array(sites.tolist(), pa.string())
-        for h, k, cols in _per_hour(y, src[order], dst[order], cost[order], mean, taus, log):
+        weights = {tau: right.column(f"w{int(tau)}").to_numpy()[order] for tau in taus}
+        for h, k, cols in _per_hour(y, src[order], dst[order], cost[order], mean, weights, log):
             parts.append(pa.table([names_of.take(pa.array(k)), pa.array(hours[h]).cast(pa.timestamp("us")), *[pa.array(cols[c]) for c in names]], names=["site", "ts", *names]))
         return pa.concat_tables(parts) if parts else empty
 

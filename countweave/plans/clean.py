@@ -43,18 +43,18 @@ h AS (SELECT hh.*, has_out, {REPEAT.format("ts_local")} AS dst_ambiguous,
 
 
 @R(f"WITH {HOURLY} SELECT standort_id, CAST(ts_local AS VARCHAR) AS ts_local, CAST(raw_in AS BIGINT) AS raw_in, CAST(raw_out AS BIGINT) AS raw_out, n_q_in, n_q_out, has_out, dst_ambiguous, completeness, completeness >= 1 AS complete, CAST(raw_total AS BIGINT) AS raw_total FROM h")
-def hourly_rollup(spark: SparkSession, d: str) -> DataFrame:
+def hourly_rollup_canonical(spark: SparkSession, d: str) -> DataFrame:
     h = rollup.hourly(raw_quarters(spark, d))
     return h.withColumn("ts_local", F.col("ts_local").cast("string"))
 
 
 @R(f"WITH {RAW} SELECT standort_id, count(raw_out) > 0.5 * count(*) AS has_out FROM raw GROUP BY 1")
-def majority_direction(spark: SparkSession, d: str) -> DataFrame:
+def majority_direction_canonical(spark: SparkSession, d: str) -> DataFrame:
     return rollup.majority_direction(raw_quarters(spark, d))
 
 
 @R(f"WITH {RAW} SELECT DISTINCT standort_id FROM raw WHERE raw_in IS NOT NULL")
-def active_ids(spark: SparkSession, d: str) -> DataFrame:
+def active_ids_canonical(spark: SparkSession, d: str) -> DataFrame:
     return rollup.active_ids(raw_quarters(spark, d))
 
 
@@ -92,7 +92,7 @@ fl AS (SELECT zr.*, coalesce(ts_local < date_trunc('day', valid_from), false) OR
 SELECT standort_id, CAST(ts_local AS VARCHAR) AS ts_local, outside_validity, zero_run,
   complete AND NOT dst_ambiguous AND NOT zero_run AND NOT outside_validity AND NOT {SKIP.format("ts_local")} AND raw_total IS NOT NULL AS observed,
   concat_ws('|', CASE WHEN zero_run THEN 'zero_run' END, CASE WHEN dst_ambiguous THEN 'dst_ambiguous' END, CASE WHEN outside_validity THEN 'outside_metadata_validity' END, CASE WHEN NOT complete THEN 'partial_hour' END) AS quality_flags FROM fl""")
-def observed_mask_flags(spark: SparkSession, d: str) -> DataFrame:
+def observed_mask_flags_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Validity, zero runs (6 hours here), the observed mask and flag text."""
     return _masked(raw_quarters(spark, d), spark, d)
 
@@ -105,36 +105,36 @@ def _masked(raw: DataFrame, spark: SparkSession, d: str) -> DataFrame:
 
 
 # The same over every readable row. DuckDB cannot read all notations, so the four above, which have
-# SQL, stay with the canonical ones.
+# SQL, check the operators on the canonical ones.
 
 
-def hourly_rollup_all(spark: SparkSession, d: str) -> DataFrame:
+def hourly_rollup(spark: SparkSession, d: str) -> DataFrame:
     h = rollup.hourly(every_quarter(spark, d))
     return h.withColumn("ts_local", F.col("ts_local").cast("string"))
 
 
-R()(hourly_rollup_all)
+R()(hourly_rollup)
 
 
-def majority_direction_all(spark: SparkSession, d: str) -> DataFrame:
+def majority_direction(spark: SparkSession, d: str) -> DataFrame:
     return rollup.majority_direction(every_quarter(spark, d))
 
 
-R()(majority_direction_all)
+R()(majority_direction)
 
 
-def active_ids_all(spark: SparkSession, d: str) -> DataFrame:
+def active_ids(spark: SparkSession, d: str) -> DataFrame:
     return rollup.active_ids(every_quarter(spark, d))
 
 
-R()(active_ids_all)
+R()(active_ids)
 
 
-def observed_mask_flags_all(spark: SparkSession, d: str) -> DataFrame:
+def observed_mask_flags(spark: SparkSession, d: str) -> DataFrame:
     return _masked(every_quarter(spark, d), spark, d)
 
 
-R()(observed_mask_flags_all)
+R()(observed_mask_flags)
 
 
 CH = "ch AS (SELECT standort_id, ts_local, max(raw_total) AS raw_total FROM counts_hourly GROUP BY 1, 2)"

@@ -93,6 +93,26 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.read_off(years, ["site_id", "year"], P2_QS)
 
 
+def p2_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Every percentile of p2_quantiles and p2_pieces held against the rows: whether the value's true ranks
+    reach the rank asked for within the stated error, and that within eps."""
+    t = table(spark, d, "daily_panel").where("total IS NOT NULL").select("site_id", "year", F.col("total").cast("double").alias("x"))
+    cols = ["site_id", "year", "q", "value", "n", "rank", "rank_error"]
+    q = p2_quantiles(spark, d).select(F.lit("whole").alias("made"), *cols).unionByName(p2_pieces(spark, d).select(F.lit("pieces").alias("made"), *cols))
+    # equal values fold first, so a percentile meets a group's distinct values alone
+    v = t.groupBy("site_id", "year", "x").agg(F.count("*").alias("k"))
+    on = F.col("v.site_id").eqNullSafe(F.col("q.site_id")) & (F.col("q.year").isNull() | F.col("v.year").eqNullSafe(F.col("q.year")))
+    j = q.alias("q").join(v.alias("v"), on).groupBy("made", "q.site_id", "q.year", "q.q", "value", "n", "rank", "rank_error")
+    j = j.agg(F.sum(F.when(F.col("x") < F.col("value"), F.col("k")).otherwise(0)).alias("below"), F.sum(F.when(F.col("x") <= F.col("value"), F.col("k")).otherwise(0)).alias("upto"))
+    off = F.greatest(F.lit(0), F.col("below") + 1 - F.col("rank"), F.col("rank") - F.col("upto"))
+    ok = (off <= F.col("rank_error")) & (F.col("rank_error") <= F.ceil(P2_EPS * F.col("n"))) & (F.col("upto") > F.col("below"))
+    return j.select("made", "site_id", "year", "q", "n", "rank", ok.alias("within"))
+
+
+_P2 = "SELECT {made} AS made, site_id, {year} AS year, q, count(*) AS n, CAST(greatest(1, ceil(q * count(*) - 1e-9)) AS BIGINT) AS rank, true AS within FROM daily_panel, (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) v(q) WHERE total IS NOT NULL GROUP BY site_id, q{by}"
+P2_SQL = " UNION ALL ".join(_P2.format(made=m, year=y, by=b) for m, y, b in (("'whole'", "year", ", year"), ("'pieces'", "year", ", year"), ("'whole'", "NULL", "")))
+
+
 # --- 3: intervals --------------------------------------------------------------------------
 
 
@@ -219,9 +239,9 @@ SELECT 'counts_hourly' AS src_table, row_id, strftime(w, '%Y-%m-%dT%H:%M:%SZ') A
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (p1_found, p1_flags, p2_quantiles, p2_pieces, p3_found, p4_found, p4_attributes, p5_found, p5_grid, p6_found, p6_pairs, p6_instants)
+    fs = (p1_found, p1_flags, p2_quantiles, p2_pieces, p2_checked, p3_found, p4_found, p4_attributes, p5_found, p5_grid, p6_found, p6_pairs, p6_instants)
     return {f.__name__: f for f in fs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_FOUND_SQL, "p4_attributes": P4_ATTRIBUTES_SQL, "p5_found": P5_SQL, "p6_pairs": P6_PAIRS_SQL}
+    return {"p1_found": P1_SQL, "p2_checked": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_FOUND_SQL, "p4_attributes": P4_ATTRIBUTES_SQL, "p5_found": P5_SQL, "p6_pairs": P6_PAIRS_SQL}

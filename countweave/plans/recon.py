@@ -170,18 +170,12 @@ def blend_grid(spark: SparkSession, d: str) -> DataFrame:
 _DRAWS = "dr AS (SELECT b AS draw, week, ((week * 7 + b * 13) % 3) AS k FROM (SELECT DISTINCT weekofyear(ts) AS week FROM pr) w, (SELECT unnest(generate_series(1, 200)) AS b) bb)"
 
 
-def rule_draws(week: DataFrame, n: int = 200) -> DataFrame:
-    weeks = week.select("week").distinct()
-    return weeks.select("week", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw")).withColumn("k", (F.col("week") * 7 + F.col("draw") * 13) % 3)
-
-
 @R(f"""WITH {PRED}, {_DRAWS}, wk AS (SELECT weekofyear(ts) AS week, sum(abs(pred - y)) FILTER (WHERE model = 'idw') AS sa, sum(abs(pred - y)) FILTER (WHERE model = 'mean') AS sb, count(*) FILTER (WHERE model = 'idw') AS n FROM pr GROUP BY 1),
 z AS (SELECT draw, sum(k * (sa - sb)) / sum(k * n) AS diff FROM dr JOIN wk USING (week) GROUP BY 1)
 SELECT 'idw' AS model_a, 'mean' AS model_b, round((SELECT sum(sa - sb) / sum(n) FROM wk), 5) AS diff, round(quantile_cont(diff, 0.025), 5) AS lo, round(quantile_cont(diff, 0.975), 5) AS hi FROM z""")
 def week_block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Weekly sums meet draws of week multiplicities."""
-    week = cut(metrics.weekly(predictions(spark, d)))  # 53 weeks a model
-    b = metrics.block_bootstrap(week, rule_draws(week), "idw", "mean")
+    b = metrics.block_bootstrap(metrics.weekly(predictions(spark, d)), "idw", "mean", 200, 0, ruled=True)
     return b.select("model_a", "model_b", *[F.round(c, 5).alias(c) for c in ("diff", "lo", "hi")])
 
 
@@ -190,8 +184,7 @@ wk AS (SELECT weekofyear(ts) AS week, sum(e) AS s, count(*) AS n FROM pa GROUP B
 SELECT round((SELECT sum(s) / sum(n) FROM wk), 5) AS diff, round(quantile_cont(diff, 0.025), 5) AS lo, round(quantile_cont(diff, 0.975), 5) AS hi, (SELECT count(*) FILTER (WHERE m < 0) FROM st) AS wins, (SELECT count(*) FROM st) AS n_sites FROM z""")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """M15 J12."""
-    week = cut(metrics.weekly_difference(metrics.side_by_side(predictions(spark, d), "mean", "idw")))  # 53 weeks a site
-    b = metrics.paired_bootstrap(week, rule_draws(week))
+    b = metrics.paired_bootstrap(metrics.weekly_difference(metrics.side_by_side(predictions(spark, d), "mean", "idw")), 200, 0, ruled=True)
     return b.select(*[F.round(c, 5).alias(c) for c in ("diff", "lo", "hi")], "wins", "n_sites")
 
 
@@ -209,8 +202,7 @@ PAIRED_DRAWS = 2000
 
 def week_block_draws(spark: SparkSession, d: str) -> DataFrame:
     """M14 with random draws of weeks; `week_block_bootstrap` checks the sums on a rule that SQL knows."""
-    week = cut(metrics.weekly(predictions(spark, d)))  # 53 weeks a model
-    b = metrics.block_bootstrap(week, metrics.week_draws(week, DEFAULT.draws, DEFAULT.seed), "idw", "mean")
+    b = metrics.block_bootstrap(metrics.weekly(predictions(spark, d)), "idw", "mean", DEFAULT.draws, DEFAULT.seed)
     return b.select("model_a", "model_b", *[F.round(c, 5).alias(c) for c in ("diff", "lo", "hi")])
 
 
@@ -219,8 +211,7 @@ R()(week_block_draws)
 
 def paired_draws(spark: SparkSession, d: str) -> DataFrame:
     """M15 likewise."""
-    week = cut(metrics.weekly_difference(metrics.side_by_side(predictions(spark, d), "mean", "idw")))  # 53 weeks a site
-    b = metrics.paired_bootstrap(week, metrics.week_draws(week, PAIRED_DRAWS, 0))
+    b = metrics.paired_bootstrap(metrics.weekly_difference(metrics.side_by_side(predictions(spark, d), "mean", "idw")), PAIRED_DRAWS, 0)
     return b.select(*[F.round(c, 5).alias(c) for c in ("diff", "lo", "hi")], "wins", "n_sites")
 
 
@@ -230,8 +221,7 @@ R()(paired_draws)
 def decision_by_interval(spark: SparkSession, d: str) -> DataFrame:
     """M25 on the upper end of M14's interval."""
     p = predictions(spark, d)
-    week = cut(metrics.weekly(p))
-    hi = metrics.block_bootstrap(week, metrics.week_draws(week, DEFAULT.draws, DEFAULT.seed), "idw", "mean").select("hi")
+    hi = metrics.block_bootstrap(metrics.weekly(p), "idw", "mean", DEFAULT.draws, DEFAULT.seed).select("hi")
     return metrics.decided(metrics.per_site(p), hi, "idw", "mean").withColumn("hi", F.round("hi", 5))
 
 

@@ -64,3 +64,17 @@ def test_pieces_merge_like_the_whole(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, v double")
     assert q.quantiles(df, ["k"], "v").count() == 0
+
+
+def test_exact_quantiles(spark):
+    """Interpolated quantiles of groups far larger than a summary, with ties, nulls and a null key."""
+    rng = np.random.default_rng(4)
+    rows = [("a", float(x)) for x in np.round(rng.normal(0, 1, 6000), 2)] + [(None, float(x)) for x in rng.gamma(2, 2, 3000)] + [("c", 7.0), ("d", None), ("e", float("nan"))] + [("f", 1.0), ("f", 2.0)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    qs = (0.9, 0.05, 0.5, 1.0, 0.0)
+    got = {(r["k"], r["q"]): r["value"] for r in q.exact_quantiles(df, ["k"], "x", qs, eps=0.02).collect()}
+    for k in ("a", None, "c", "f"):
+        v = [x for key, x in rows if key == k]
+        for at in qs:
+            assert got[k, at] == pytest.approx(np.quantile(v, at)), (k, at)
+    assert len(got) == 4 * len(qs)
