@@ -11,7 +11,7 @@ from countweave.functions import calendar as cal
 from countweave.functions.checkpoints import cut
 from countweave.functions.partitions import ahead_of_expansion
 from countweave.functions.settings import DEFAULT
-from countweave.operators import anomalies, bootstrap, glm, metrics, panel, reconstruct
+from countweave.operators import anomalies, bootstrap, glm, gnn, metrics, panel, reconstruct, spatial
 from countweave.plans import geo, index
 from countweave.plans.registry import Registry
 from countweave.sources.tables import table
@@ -490,6 +490,18 @@ def alpha_grid(spark: SparkSession, d: str) -> DataFrame:
 
 R()(alpha_grid)
 
+def message_passing(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of the graph network at held-out sites, links to the five nearest sites."""
+    s = geo.sites(spark, d).select(F.col("id").alias("site"), "x", "y", (F.pmod(F.xxhash64("id"), F.lit(4)) == 0).alias("held"))
+    e = spatial.knn_edges(geo.times(spark, d), DEFAULT.knn, DEFAULT.knn_tau_s).select("src", "dst", "weight")
+    c = counts(spark, d).select("site", "ts", "y")
+    p = gnn.predictions(c, s, e, seed=DEFAULT.seed)
+    err = F.abs(F.col("pred") - F.col("y"))
+    return p.join(c, ["site", "ts"]).groupBy("site").agg(F.round(F.avg(err), 3).alias("mae"), F.count("*").alias("n"))
+
+
+R()(message_passing)
+
 MOST_ROWS = 300_000  # of a model's training sample
 
 
