@@ -96,7 +96,9 @@ def block_bootstrap(week: DataFrame, a: str, b: str, draws: int, seed: int, rule
         lo, hi = _interval(diff, n, draws, seed, by_rule(s.index.to_numpy()) if ruled else None)
         return pd.DataFrame({"diff": [diff.sum() / max(n.sum(), 1)], "lo": [lo], "hi": [hi]})
 
-    one = week.groupBy(F.lit(0).alias("all")).applyInPandas(work, "diff double, lo double, hi double")
+    one = week.groupBy(F.lit(0).alias("all")).applyInPandas(work, "diff double, lo double, hi double").withColumn("__j", F.lit(1))
+    # no rows at all still give one of nulls
+    one = week.sparkSession.range(1).select(F.lit(1).alias("__j")).join(one, "__j", "left")
     return one.select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "diff", "lo", "hi")
 
 
@@ -128,7 +130,7 @@ def paired_bootstrap(site_week: DataFrame, draws: int, seed: int, ruled: bool =
     week = site_week.groupBy("week").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     ci = week.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: work(pdf.sort_values("week")), "diff double, lo double, hi double")
     wins = site_week.groupBy("site").agg((F.sum("s") / F.sum("n")).alias("m")).agg(F.count_if(F.col("m") < 0).alias("wins"), F.count("*").alias("n_sites"), F.lit(1).alias("__j"))
-    return ci.withColumn("__j", F.lit(1)).join(wins, "__j").drop("__j")
+    return wins.join(ci.withColumn("__j", F.lit(1)), "__j", "left").select("diff", "lo", "hi", "wins", "n_sites")
 
 
 def chosen(val_better: Column, ci_hi: Column, wins: Column, n_sites: Column) -> Column:
