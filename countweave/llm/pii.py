@@ -339,10 +339,17 @@ def _all_sentences(text: str) -> Iterator[tuple[int, int]]:
 ROLE_FOLDS = [fold(r) for r in ROLES]
 
 
-@lru_cache(100_000)
+ROLE_SEEN: dict[str, bool] = {}  # a plain table: functions of tasks travel by value, decorated ones would not
+
+
 def _is_role(f: str) -> bool:
     """A role, or up to one letter off, two for long words."""
-    return len(f) > 4 and any(near(f, r, 2 if len(r) > 8 else 1) for r in ROLE_FOLDS)
+    got = ROLE_SEEN.get(f)
+    if got is None:
+        if len(ROLE_SEEN) > 100_000:
+            ROLE_SEEN.clear()
+        got = ROLE_SEEN[f] = len(f) > 4 and any(near(f, r, 2 if len(r) > 8 else 1) for r in ROLE_FOLDS)
+    return got
 
 
 def checked(kind: str, span: list[tuple[str, int, int, str]], before: list[tuple[str, int, int, str]], lexicon: Lexicon) -> tuple[int, int] | None:

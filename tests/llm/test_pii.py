@@ -125,3 +125,34 @@ def test_stored_model_is_what_training_gives():
     assert all(np.array_equal(a.tables[k], b.tables[k]) for k in a.tables) and np.array_equal(a.skip, b.skip)
     m = pii.trained()
     assert {k: t.shape for k, t in m.tables.items()} == {k: (n, pii.K) for k, n in pii.sizes(len(m.vocabulary) + 1).items()}
+
+
+def test_workers_need_no_package(tmp_path):
+    """What runs in tasks travels by value: workers that cannot import the package find the same."""
+    import subprocess
+    import sys
+    import textwrap
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+    import sys
+    sys.path.insert(0, {root!r})
+    from pyspark.sql import SparkSession
+    s = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+
+    def probe(_):
+        import importlib.util
+        return [importlib.util.find_spec("countweave") is None]
+
+    assert all(s.sparkContext.parallelize(range(2), 2).mapPartitions(probe).collect())
+    from countweave.llm import bpe, mixing, pii
+    d = s.createDataFrame([(1, "Kontakt: Corina Zollkinger, c@x.example", "a")], "doc_id long, text string, source string")
+    n = s.createDataFrame([("Corina", "given"), ("Zollkinger", "family")], "name string, name_kind string")
+    assert pii.found(d, "doc_id", "text", n).count() == 2 and pii.redacted(d, "doc_id", "text", n).first()["text"] == "Kontakt: [NAME], [EMAIL]"
+    t = s.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    assert mixing.mix(bpe.token_counts(d, ["doc_id", "source"], "text"), t).count() == 1
+    print("fine")
+    """
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "fine" in out.stdout, out.stderr[-2000:]
