@@ -59,7 +59,7 @@ def joins(spark, name):
 
 
 # nothing is joined by hours, and no pairs of sites are listed (a join of grid cells)
-NARROW = ["tau_grid"]
+NARROW = ["tau_grid", "metrics_daily"]
 
 
 @pytest.mark.parametrize("name", NARROW)
