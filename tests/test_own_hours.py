@@ -59,9 +59,17 @@ def joins(spark, name):
 
 
 # nothing is joined by hours, and no pairs of sites are listed (a join of grid cells)
-NARROW = ["tau_grid", "metrics_daily"]
+NARROW = ["tau_grid", "metrics_daily", "metrics_pooled"]
 
 
 @pytest.mark.parametrize("name", NARROW)
 def test_no_join_of_hours_or_pairs(spark, name):
     assert not [x for x in joins(spark, name) if "(ts#" in x or "cx#" in x or "src#" in x or "dst#" in x]
+
+
+def test_common_rows_are_those_that_all_models_have(spark):
+    from countweave.operators import metrics
+
+    wide = spark.createDataFrame([("a", START, 1.0, 2.0, 3.0), ("b", START, 1.0, None, 3.0), ("c", START, 1.0, 2.0, None)], "site string, ts timestamp_ntz, y double, m double, n double")
+    long = wide.unpivot(["site", "ts", "y"], ["m", "n"], "model", "pred").where("pred IS NOT NULL")
+    assert sorted(map(tuple, metrics.common_rows(wide, ["m", "n"]).collect())) == sorted(map(tuple, metrics.common(long, 2).select("site", "ts", "y", "model", "pred").collect()))
