@@ -59,7 +59,7 @@ def joins(spark, name):
 
 
 # nothing is joined by hours, and no pairs of sites are listed (a join of grid cells)
-NARROW = ["tau_grid", "metrics_daily", "metrics_pooled"]
+NARROW = ["tau_grid", "metrics_daily", "metrics_pooled", "paired_bootstrap"]
 
 
 @pytest.mark.parametrize("name", NARROW)
@@ -73,3 +73,9 @@ def test_common_rows_are_those_that_all_models_have(spark):
     wide = spark.createDataFrame([("a", START, 1.0, 2.0, 3.0), ("b", START, 1.0, None, 3.0), ("c", START, 1.0, 2.0, None)], "site string, ts timestamp_ntz, y double, m double, n double")
     long = wide.unpivot(["site", "ts", "y"], ["m", "n"], "model", "pred").where("pred IS NOT NULL")
     assert sorted(map(tuple, metrics.common_rows(wide, ["m", "n"]).collect())) == sorted(map(tuple, metrics.common(long, 2).select("site", "ts", "y", "model", "pred").collect()))
+
+
+@pytest.mark.parametrize("name", ["paired_bootstrap"])
+def test_site_hours_are_not_grouped_again(spark, name):
+    plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Aggregate [site#" in x and "ts#" in x and "pred#" in x]
