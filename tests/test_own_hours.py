@@ -79,3 +79,20 @@ def test_common_rows_are_those_that_all_models_have(spark):
 def test_site_hours_are_not_grouped_again(spark, name):
     plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.split("\n") if "Aggregate [site#" in x and "ts#" in x and "pred#" in x]
+
+
+@pytest.mark.parametrize("n", [1, 40, 299, 300, 1000])
+def test_subsample_of_many_rows(spark, monkeypatch, n):
+    df = spark.range(300)
+    plain = reconstruct.subsample(df, ["id"], 3, n).collect()
+    monkeypatch.setattr(reconstruct, "MANY", 0)
+    assert reconstruct.subsample(df.repartition(5), ["id"], 3, n).collect() == plain and len(plain) == min(n, 300)
+
+
+def test_design_is_narrow_and_cut_once(spark, monkeypatch):
+    from countweave.plans import recon
+
+    cuts = []
+    monkeypatch.setattr(recon, "cut", lambda df: cuts.append(df) or df)
+    plan = recon._design(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(cuts) == 1 and not [x for x in plan.split("\n") if "Join " in x and ("(ts#" in x or "src#" in x or "dst#" in x or "cx#" in x)]
