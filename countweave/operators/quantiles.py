@@ -291,10 +291,11 @@ def stand_in(x: Column, ends: Sequence[Column]) -> Column:
     return out.otherwise(ends[n - 1] + 1)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], eps: float = 0.001) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], eps: float = 0.001, few: bool = False) -> DataFrame:
     """keys, q, value: the interpolated quantile at place q (n - 1) of each group, exactly, for groups of
     any size. A summary brackets the ranks; values inside the brackets (a share of about eps per
-    quantile) are counted one by one, all others only between them, and a group's counts meet."""
+    quantile) are counted one by one, all others only between them, and a group's counts meet. `few`:
+    there are few groups (models, not sites), so that their brackets, a row each, go to the rows."""
     keys = list(keys)
     m = 2 * len(qs)
     ends = [f"__e{i}" for i in range(m)]
@@ -323,7 +324,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
     on = F.lit(True)
     for k in keys:
         on = on & F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}"))
-    j = rows.alias("r").join(b.alias("b"), on).select("r.*", *[f"b.{c}" for c in ends])
+    j = rows.alias("r").join((F.broadcast(b) if few else b).alias("b"), on).select("r.*", *[f"b.{c}" for c in ends])
     counts = j.groupBy(*keys, stand_in(F.col("__x"), [F.col(c) for c in ends]).alias("__v")).agg(F.count("*").alias("__w"))
 
     def read(key, pdf):

@@ -96,3 +96,9 @@ def test_design_is_narrow_and_cut_once(spark, monkeypatch):
     monkeypatch.setattr(recon, "cut", lambda df: cuts.append(df) or df)
     plan = recon._design(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert len(cuts) == 1 and not [x for x in plan.split("\n") if "Join " in x and ("(ts#" in x or "src#" in x or "dst#" in x or "cx#" in x)]
+
+
+@pytest.mark.parametrize("name", ["prediction_intervals"])
+def test_rows_are_not_exchanged_by_model(spark, name):
+    plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("broadcast" in x for x in plan.split("\n") if "Join " in x and "model#" in x)
