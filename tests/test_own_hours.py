@@ -60,7 +60,7 @@ def joins(spark, name):
 
 
 # nothing is joined by hours, and no pairs of sites are listed (a join of grid cells)
-NARROW = ["tau_grid", "metrics_daily", "metrics_pooled", "paired_bootstrap", "metrics_by_group", "week_block_bootstrap", "decision_by_interval", "metrics_wide", "paired_draws", "decision_rule", "interval_coverage", "metrics_per_site"]
+NARROW = ["tau_grid", "metrics_daily", "metrics_pooled", "paired_bootstrap", "metrics_by_group", "week_block_bootstrap", "decision_by_interval", "metrics_wide", "paired_draws", "decision_rule", "interval_coverage", "metrics_per_site", "worst_sites"]
 
 
 @pytest.mark.parametrize("name", NARROW)
