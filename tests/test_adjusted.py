@@ -123,3 +123,17 @@ def test_bootstraps_and_robust_index_use_all_years(spark, tmp_path):
     assert b["n"] + b["failed"] == 500 and b["median"] == pytest.approx(2.0, rel=0.03)
     c = recon.cluster_bootstrap(spark, str(tmp_path)).collect()[0]
     assert c["n"] + c["failed"] == 1000 and c["median"] == pytest.approx(1.0, rel=0.03)
+
+
+def test_links_of_a_chain_travel_by_their_years(spark):
+    """A link's task holds its two years alone; a draw fails that takes no site of some link."""
+    rows = [(s, i, date(y, 1, 1) + timedelta(days=k), float(50 + k % 9 + 30 * (y == 2022)), f"{s}#1", y) for i, (s, years) in enumerate((("a", (2021, 2022)), ("b", (2022, 2023)))) for y in years for k in range(0, 360, 3)]
+    d = glm.with_days(spark.createDataFrame(rows, "site_id string, standort_id int, day date, total double, coverage_id string, year int"))
+    draws = bootstrap.chain_draws(d, 10, 12, 7, (), ("dow",))
+    step = [x for x in draws._jdf.queryExecution().optimizedPlan().toString().split("\n") if "InPandas" in x]
+    assert len(step) == 1 and "FlatMapCoGroupsInPandas [part#" in step[0]
+    got = {r[0]: r[1] for r in draws.collect()}
+    h = {r[0]: r[1] for r in d.select("site_id", F.xxhash64("site_id")).distinct().collect()}
+    weeks = np.unique([x[2].isocalendar()[0] * 100 + x[2].isocalendar()[1] for x in rows])
+    taken = [bootstrap.multiplicities(np.array(sorted(h.values())), weeks, np.random.default_rng([7, i]))[0] for i in range(12)]
+    assert {i for i in got if got[i] is None or np.isnan(got[i])} == {i for i, k in enumerate(taken) if not k.all()} and 0 < sum(k.all() for k in taken) < 12
