@@ -97,6 +97,15 @@ def test_edge_betweenness(spark):
         assert got[k] == pytest.approx(x / (n * (n - 1)))
 
 
+def test_betweenness_runs_in_one_pass(spark, monkeypatch):
+    """However long the ways: nothing is written round by round, and drawn nodes share the work."""
+    cuts = []
+    monkeypatch.setattr(network, "cut", lambda df: cuts.append(df) or df)
+    edges = [(k, k + 1, 1.0) for k in range(40)]
+    got = {(r["u"], r["v"]): r["betweenness"] for r in network.edge_betweenness(graph(spark, edges), 100).collect()}
+    assert got == pytest.approx({(k, k + 1): 2 * (k + 1) * (40 - k) / (41 * 40) for k in range(40)}) and len(cuts) == 1
+
+
 def greedy(rows, apart, most):
     out = []
     for i, x, y, _ in sorted(rows, key=lambda r: (-r[3], r[0])):
