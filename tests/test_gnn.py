@@ -28,6 +28,18 @@ def test_gradients():
         assert abs(nodes[k].g[i] - want) < 1e-4 * (1 + abs(want)), k
 
 
+def test_memory_is_that_of_one_window(monkeypatch):
+    """However many windows a batch has, one is worked on at a time; without gradients nothing is kept."""
+    rng, seen, forward = np.random.default_rng(0), [], gnn.forward
+    monkeypatch.setattr(gnn, "forward", lambda p, x, *a: seen.append(len(x)) or forward(p, x, *a))
+    y, calendar, place = rng.poisson(20, (6, 48, 3)).astype(float), rng.normal(size=(6, 48, 5)), rng.normal(size=(3, 2))
+    src, dst, decay = np.array([0, 1, 2]), np.array([1, 2, 0]), np.ones(3)
+    gnn.train(y, calendar, place, np.ones(3, bool), src, dst, decay, rounds=2, batch=4)
+    assert set(seen) == {1}
+    fixed = {k: gnn.Node(w, live=False) for k, w in gnn.start(9, 8, 2, 0).items()}
+    assert forward(fixed, rng.normal(size=(1, 48, 3, 9)).astype(np.float32), src, dst, decay).back == ()
+
+
 def test_held_out_sites_follow_their_neighbours(spark):
     """Two districts with days of their own: a held-out site is told by the sites linked to it."""
     rng = np.random.default_rng(2)
