@@ -131,7 +131,7 @@ def test_links_of_a_chain_travel_by_their_years(spark):
     d = glm.with_days(spark.createDataFrame(rows, "site_id string, standort_id int, day date, total double, coverage_id string, year int"))
     draws = bootstrap.chain_draws(d, 10, 12, 7, (), ("dow",))
     step = [x for x in draws._jdf.queryExecution().optimizedPlan().toString().split("\n") if "InPandas" in x]
-    assert len(step) == 1 and "FlatMapCoGroupsInPandas [part#" in step[0]
+    assert len(step) == 1 and "FlatMapCoGroupsInPandas" in step[0] and "from_year#" in step[0]
     got = {r[0]: r[1] for r in draws.collect()}
     h = {r[0]: r[1] for r in d.select("site_id", F.xxhash64("site_id")).distinct().collect()}
     weeks = np.unique([x[2].isocalendar()[0] * 100 + x[2].isocalendar()[1] for x in rows])
