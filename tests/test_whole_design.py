@@ -41,7 +41,7 @@ def test_alpha_grid_takes_all_site_hours(spark, design):
     assert len(rows) == N * HOURS and all((x["x_km5"], x["y_km5"]) == pytest.approx(place[x["site"]]) for x in rows)
 
 
-@pytest.mark.parametrize("name", ["gradient_boosting"])
+@pytest.mark.parametrize("name", ["gradient_boosting", "ridge_poisson"])
 def test_all_held_out_site_hours_are_scored(spark, design, name):
     r = {x["site"]: x["n"] for x in entry.queries()[name](spark, "").collect()}
     assert design[0].count() == N * HOURS and r == held_out(design[0])
